@@ -1,6 +1,6 @@
 """SimHash fingerprints and the documents they link.
 
-Candidates come from a grid: a fingerprint maps to the bit counts of its 16 segments, and two fingerprints at Hamming
+Candidates come from a grid: a fingerprint maps to the bit counts of its 32 segments, and two fingerprints at Hamming
 distance d are at most d apart in the Manhattan distance of these counts. Each fingerprint is put in the grid cells
 within half the radius of its own; two within the radius always meet in a cell, so a fingerprint alone in all its
 cells has no partner. Those that meet another are verified exactly, by the same midpoint argument on the Hamming cube:
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import components, saved
 
 SEED = 42
-SEGMENTS, WIDTH = 16, 4
+SEGMENTS, WIDTH = 32, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 
@@ -53,13 +53,17 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
 
 
 def cells(fp: Column) -> Column:
-    """The grid cells within Manhattan distance 1 of a fingerprint's segment counts, three bits a segment."""
+    """The grid cells within Manhattan distance 1 of a fingerprint's segment counts, two bits a segment."""
     counts = [F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))).cast("long") for i in range(SEGMENTS)]
-    own = sum((c * (1 << 3 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    near = [F.lit(0).cast("long")]
+    own = F.lit(0).cast("long")
     for i, c in enumerate(counts):
-        near += [F.when(c < WIDTH, 1 << 3 * i), F.when(c > 0, -(1 << 3 * i))]
-    return F.transform(F.filter(F.array(*near), lambda d: d.isNotNull()), lambda d: own + d)
+        own = own.bitwiseOR(F.shiftleft(c, 2 * i))
+    near = [F.lit(0).cast("long")]  # of neighbours, what differs
+    for i, c in enumerate(counts):
+        up = F.when(c == 0, 1).when(c == 1, 3).cast("long")  # 0 to 1, 1 to 2
+        down = F.when(c == 1, 1).when(c == 2, 3).cast("long")
+        near += [F.shiftleft(up, 2 * i), F.shiftleft(down, 2 * i)]
+    return F.transform(F.filter(F.array(*near), lambda d: d.isNotNull()), lambda d: own.bitwiseXOR(d))
 
 
 def midpoints(fp: Column) -> Column:
