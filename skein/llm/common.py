@@ -29,6 +29,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of up to so many narrow rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows, which is counted; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, simhash
+from skein.llm import bpe, chat, quality_rules, secrets, simhash, toxicity, warc
+from skein.llm.common import checkpoint_dir, saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +58,62 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op4_bpe": op4_bpe, "op5_simhash_near_dedup": op5_simhash_near_dedup}
-ORACLES = {"op1_chat_formatting": _OP1}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    read = warc.read_archives(spark, path).where(F.col("warc_type").isin("response", "revisit"))
+    again = F.col("warc_type") == "revisit"
+    found = read.select(
+        page("record_id").alias("page_id"),
+        F.when(again, F.col("http_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(again, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+    found = saved(found)
+    warc.delete_archives(spark, path)
+    return found
+
+
+_OP6 = """
+WITH r AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM r)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM w
+"""
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.assess(table(spark, sf_dir, "documents"), trusted)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels no model sees."""
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Network:
+    texts, y, share = toxicity.training_rows(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.train(texts, y, share)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), toxicity.score(F.col("text"), net).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("s"))
+    digest = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("s", lambda x: x["kind"] != "random")
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("s")).alias("spans"))
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op9_secret_scan": op9_secret_scan} | {"op1_chat_formatting": op1_chat_formatting, "op4_bpe": op4_bpe, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+ORACLES = {"op1_chat_formatting": _OP1, "op6_warc": _OP6}
