@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import sized, words
 
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 1.0, -0.1
+#: SMOOTHING is the weight of the raw multinomial in the target, in counts a bucket: scarce buckets have ratios near 0.
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 4.0, -0.12
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -39,15 +40,15 @@ def covered(hashes: Column, n: int = 3) -> Column:
 def measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, and the word hashes `_w`. Null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = df.select(F.col(doc_id).alias("doc_id"), body.alias("_t")).withColumn("_w", F.transform(words(F.col("_t")), lambda w: F.xxhash64(w)))
+    df = df.select(F.col(doc_id).alias("doc_id"), body.alias("_t"), words(body).alias("_words")).withColumn("_w", F.transform("_words", lambda w: F.xxhash64(w)))
     df = df.withColumn("_g", grams(F.col("_w"), 3))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
         "doc_id",
         "_w",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long").alias("n_dup_lines"),
         covered(F.col("_g")).cast("long").alias("n_repeat_words"),
     )
@@ -61,7 +62,7 @@ def buckets(hashes: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[float]:
-    """log p(bucket | trusted) - log p(bucket | raw), both smoothed, for each bucket. `trusted` lists ids in `doc_id`.
+    """log p(bucket | trusted) - log p(bucket | raw) for each bucket, the former smoothed by the latter. `trusted` lists ids in `doc_id`.
 
     Without trusted documents all ratios are 0."""
     ids = trusted.select(F.col(doc_id).alias("_i")).where("_i IS NOT NULL").distinct()
@@ -69,10 +70,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
     hashes = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
     seen = flagged.select("_y", hashes.alias("_w")).select("_y", F.explode(buckets(F.col("_w"))).alias("b"))
     counts = {r["b"]: (r["n"], r["t"]) for r in seen.groupBy("b").agg(F.count("*").alias("n"), F.count("_y").alias("t")).collect()}
-    raw, target = (sum(c[k] for c in counts.values()) + SMOOTHING * BUCKETS for k in (0, 1))
-    if target == SMOOTHING * BUCKETS:
+    raw, target = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    if not target:
         return [0.0] * BUCKETS
-    ratio = lambda n, t: math.log((t + SMOOTHING) / target) - math.log((n + SMOOTHING) / raw)
+    prior = SMOOTHING * BUCKETS
+    ratio = lambda n, t: math.log((t * raw / n + prior) / (target + prior)) if n else 0.0
     return [ratio(*counts.get(b, (0, 0))) for b in range(BUCKETS)]
 
 
