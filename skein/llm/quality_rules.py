@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import sized, words
+from skein.llm.common import let, sized, words
 
 #: SMOOTHING is the weight of the raw multinomial in the target, in counts a bucket: scarce buckets have ratios near 0.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 4.0, -0.12
@@ -33,7 +33,6 @@ def covered(hashes: Column, n: int = 3) -> Column:
         F.transform(F.filter(s, lambda x, j: x["h"].eqNullSafe(F.get(s, j - 1)["h"]) | x["h"].eqNullSafe(F.get(s, j + 1)["h"])), lambda x: x["i"])
     )
     steps = lambda p: F.aggregate(F.transform(p, lambda x, j: F.coalesce(F.least(F.get(p, j + 1) - x, F.lit(n)), F.lit(n))), F.lit(0), lambda a, b: a + b)
-    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  computes a value once
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(ordered, lambda s: let(twice(s), steps)))
 
 
@@ -49,7 +48,7 @@ def measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         covered(F.col("_g")).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

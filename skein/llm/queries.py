@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, quality_rules, secrets, simhash, toxicity, warc
+from skein.llm import bpe, chat, decontam, quality_rules, secrets, simhash, toxicity, warc
 from skein.llm.common import checkpoint_dir, saved
 
 
@@ -115,5 +115,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("s")).alias("spans"))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op9_secret_scan": op9_secret_scan} | {"op1_chat_formatting": op1_chat_formatting, "op4_bpe": op4_bpe, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op2_quality_rules": op2_quality_rules, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op9_secret_scan": op9_secret_scan} | {"op1_chat_formatting": op1_chat_formatting, "op4_bpe": op4_bpe, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLES = {"op1_chat_formatting": _OP1, "op6_warc": _OP6}
