@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, decontam, quality_rules, secrets, simhash, toxicity, warc
+from skein.llm import bpe, chat, cotrain, decontam, html_extract, quality_rules, secrets, simhash, toxicity, warc
 from skein.llm.common import checkpoint_dir, saved
 
 
@@ -107,6 +107,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    # Held-out documents are neither labelled nor in the pool.
+    model = cotrain.fit(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
+    found = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), cotrain.score(model, F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars")).alias("s"))
+    return found.select("doc_id", "held_out", "s.text_score", "s.meta_score", "s.score", (F.col("s.score") >= 0.5).alias("kept"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("s"))
     digest = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -119,5 +128,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op2_quality_rules": op2_quality_rules, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op9_secret_scan": op9_secret_scan} | {"op1_chat_formatting": op1_chat_formatting, "op4_bpe": op4_bpe, "op5_simhash_near_dedup": op5_simhash_near_dedup}
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {"op8_quality_classifier": op8_quality_classifier, "op3_html_extraction": op3_html_extraction, "op10_decontamination": op10_decontamination, "op2_quality_rules": op2_quality_rules, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op9_secret_scan": op9_secret_scan} | {"op1_chat_formatting": op1_chat_formatting, "op4_bpe": op4_bpe, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLES = {"op1_chat_formatting": _OP1, "op6_warc": _OP6}
