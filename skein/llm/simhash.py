@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, saved
+from skein.llm.common import components, saved, sized
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
@@ -100,3 +100,96 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     moved = linked.join(lows, "root").select("fp", "component_id").where("component_id <> first OR first IS NULL")
     named = saved(prints.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return docs.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Min-hash bands and rows of one: two texts at the least similarity share a band with probability 0.99997.
+BANDS, BAND_ROWS = 20, 4
+#: Differing SimHash bits beyond which two texts are not compared; 32 is what unrelated texts differ by.
+FAR = 24
+_MULTIPLIERS = (np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; of the whole sequence if it is shorter."""
+    w = text.translate(_LOWER).split()
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) > shingle else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def band_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One hash per band of the min-hashes of a set; an empty set has the same ones everywhere."""
+    low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(32))
+    for i in range(0, len(mixed), 2048):
+        np.minimum(low, (mixed[i : i + 2048, None] * _MULTIPLIERS).min(axis=0), out=low)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        out = (out ^ low[k::BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """`(key, root)` for every distinct content that is similar to another: the MD5 of the text, and the smallest key
+    that links reach. Two contents link if the Jaccard similarity of their sets of word shingles is at least
+    `min_similarity`.
+
+    SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
+    candidates come from min-hash bands; pairs whose SimHash or size rules the similarity out are dropped, and the
+    rest is verified exactly. In a band's bucket each content is compared with two others only, the most central one
+    (whose buckets are the fullest) and the one with the smallest key, so a large group costs its size.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    @F.arrow_udf("struct<bands:array<long>,fp:long,n:long>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.cast(pa.binary()).to_pylist():
+            s = shingle_set(t, shingle)
+            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "fp": int(np.uint64(simhash(t, shingle)).view(np.int64)), "n": len(s)})
+        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("fp", pa.int64()), ("n", pa.int64())]))
+
+    @F.arrow_udf("array<long>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+    rows = df.select(F.md5(body).alias("key"), sketch(body).alias("s")).select("key", "s.*")
+    each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    placed = each.select("key", F.explode("bands").alias("band"))
+    full = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    placed = saved(placed.join(full, "band"))
+    central = placed.groupBy("key").agg(F.sum("size").alias("weight"))
+    heads = placed.join(central, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("hub"), F.min("key").alias("low"))
+    pairs = placed.join(heads.select("band", F.array("hub.key", "low").alias("heads")), "band").select("key", F.explode("heads").alias("head"))
+    pairs = pairs.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+    a = each.select(F.col("key").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"))
+    b = each.select(F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
+    pairs = saved(pairs.join(a, "a").join(b, "b").where(near & (F.least("na", "nb") >= min_similarity * F.greatest("na", "nb"))).select("a", "b", "na", "nb"))
+    # Shingles of one text per content that is in a pair.
+    wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    texts = df.select(F.md5(body).alias("key"), body.alias("_t")).join(sized(wanted), "key")
+    sets = saved(texts.select("key", hashes(F.col("_t")).alias("h")).groupBy("key").agg(F.first("h").alias("h")))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
+    both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
+    edges = both.where(F.when(F.col("total") == 0, True).otherwise(F.col("shared") >= min_similarity * (F.col("total") - F.col("shared")))).select("a", "b")
+    return components(edges).select(F.col("node").alias("key"), "root")
+
+
+def distinct_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """The rows of `df` without near-copies: of each group of similar contents (see `similar_contents`), copies
+    included, the document with the smallest doc_id stays (null last), ties by content.
+
+    Null text counts as empty; texts without words form one group. Rows that repeat the document that stays, id and
+    text, stay with it. Other columns are kept; an empty table gives no rows.
+    """
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    roots = saved(similar_contents(df, text, shingle, min_similarity))
+    ids = saved(df.select(F.col(doc_id).alias("_d"), key.alias("key")).groupBy("_d", "key").agg(F.count("*").alias("_n")))
+    ids = ids.join(roots, "key", "left").select("_d", "key", F.coalesce("root", "key").alias("root"))
+    stays = F.min(F.struct(F.col("_d").isNull().alias("null"), F.col("_d").alias("d"), F.col("key").alias("key"))).alias("s")
+    ids = saved(ids)
+    first = saved(ids.groupBy("root").agg(stays, F.count("*").alias("n")).where("n > 1").select("root", "s.d", F.col("s.key").alias("k")))
+    gone = ids.join(first, "root").where(~(F.col("_d").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))).select("_d", "key")
+    gone = sized(saved(gone))
+    return df.join(gone, key.eqNullSafe(gone["key"]) & df[doc_id].eqNullSafe(gone["_d"]), "left_anti")
