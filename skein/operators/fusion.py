@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.topk import best
+from skein.operators.topk import DECIMALS, best
 
 RRF_K = 60.0
 
@@ -29,7 +29,7 @@ def _union(lists: Sequence[DataFrame], value: list) -> DataFrame:
 def _fused(lists: Sequence[DataFrame], value: list, k: int | None) -> DataFrame:
     places = [f"rank_{j}" for j in range(len(lists))]
     total = _union(lists, value).groupBy("qid", "id").agg(F.sum("part").alias("score"), *(F.min(p).alias(p) for p in places))
-    order = [F.round("score", 12).desc(), *(F.col(p).asc_nulls_last() for p in places), F.col("id")]
+    order = [F.round("score", DECIMALS).desc(), *(F.col(p).asc_nulls_last() for p in places), F.col("id")]
     if k:
         return best(total, k, order)
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from skein.config import METRICS
 from skein.errors import QueryError
 from skein.functions import vectors as V
-from skein.operators.topk import DECIMALS, Smallest, best, check_k, id_array, matrix
+from skein.operators.topk import DECIMALS, Smallest, arrow_type, best, check_k, id_array, matrix
 
 #: Queries of one block, which is sent to every task; a larger batch takes a pass over the rows per block.
 BLOCK = 4096
@@ -66,7 +66,7 @@ def _scan(rows: DataFrame, q: np.ndarray, k: int, metric: str) -> DataFrame:
     """Per task, the k nearest rows `(id, vector)` of each query."""
     kind = rows.schema[0].dataType
     shape = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])
-    to_arrow = pa.schema([("_q", pa.int32()), ("id", pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()), ("distance", pa.float64())])
+    to_arrow = pa.schema([("_q", pa.int32()), ("id", arrow_type(kind)), ("distance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Smallest(len(q), k)
@@ -100,9 +100,13 @@ def exact_knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
         found = best(_scan(narrow, normalized(q) if metric == "cosine" else q, k, metric), k, [F.col("distance"), F.col("id")], by="_q")
         found = found.join(F.broadcast(names), "_q").select("qid", "id", "distance", V.score(metric, F.col("distance")).alias("score"), "rank")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], T.StructType([T.StructField("qid", queries.schema[qid].dataType), T.StructField("id", rows.schema[id].dataType), T.StructField("distance", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())]))
-    return out
+    return empty_result(rows, queries, id, qid) if out is None else out
+
+
+def empty_result(rows: DataFrame, queries: DataFrame, id: str, qid: str) -> DataFrame:
+    """A result of no rows: `(qid, id, distance, score, rank)`."""
+    kinds = {"qid": queries.schema[qid].dataType, "id": rows.schema[id].dataType, "distance": T.DoubleType(), "score": T.DoubleType(), "rank": T.LongType()}
+    return rows.sparkSession.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in kinds.items()]))
 
 
 def nearest(rows: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", *, id: str = "id", vector: str = "vector") -> DataFrame:

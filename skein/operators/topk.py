@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.errors import QueryError
 
 #: Distances tie when they agree to so many decimals: equal vectors then tie in whatever order they were summed.
-DECIMALS = 12
+DECIMALS = 9
 
 
 def check_k(k: int) -> int:
@@ -61,6 +62,11 @@ class Smallest:
         )
 
 
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    """The Arrow type of an id: string, long or int."""
+    return pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+
+
 def id_array(column: pa.Array) -> np.ndarray:
     """Ids as NumPy values that sort."""
     return np.array(column.to_pylist(), dtype=str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
