@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import saved
+
 #: A subtree in so many different contexts of a host is template.
 CONTEXTS = 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -197,8 +199,11 @@ def main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", page: s
         return pa.array([extract(p, d or ()) for p, d in zip(pages.to_pylist(), drop.to_pylist(), strict=True)], pa.string())
 
     key = F.xxhash64("_p")
-    subs = rows.select("_h", key.alias("_k"), hashes(F.col("_p")).alias("s")).select("_h", "_k", F.inline("s"))
+    # Both are written down: pages are parsed once for the hashes, and the join below has a plain exchange on either
+    # side, so a hot host's template can be split.
+    subs = saved(rows.select("_h", key.alias("_k"), hashes(F.col("_p")).alias("s")).select("_h", "_k", F.inline("s")))
     shared = subs.groupBy("_h", "hash", "parent").agg(F.count("*").alias("n")).groupBy("_h", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= contexts).select("_h", "hash")
+    shared = saved(shared)
     # A page's own template subtrees: never more than it has elements.
     drop = subs.join(shared, ["_h", "hash"]).groupBy("_h", "_k").agg(F.collect_set("hash").alias("_d"))
     return rows.withColumn("_k", key).join(drop, ["_h", "_k"], "left").select("page_id", "url", text(F.col("_p"), F.col("_d")).alias("text"))
