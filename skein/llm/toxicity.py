@@ -89,7 +89,12 @@ class Network:
 
     def inputs(self, rows: np.ndarray, grams: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """The input vector of each word: its word row, and the mean of its n-gram rows."""
-        total = np.add.reduceat(self.char[grams], np.cumsum(lens) - lens, axis=0) if len(grams) else np.zeros((len(lens), CHAR_DIM), np.float32)
+        total = np.zeros((len(lens), CHAR_DIM), np.float32)
+        ends = np.cumsum(lens)
+        for i in range(0, len(lens), _CHUNK):  # a word has about 25 n-grams, so all their rows at once are large
+            first = ends[i] - lens[i]
+            part = grams[first : ends[min(i + _CHUNK, len(lens)) - 1]]
+            total[i : i + _CHUNK] = np.add.reduceat(self.char[part], ends[i : i + _CHUNK] - lens[i : i + _CHUNK] - first, axis=0)
         return np.hstack([self.word[rows], total / np.sqrt(np.maximum(lens, 1))[:, None].astype(np.float32)])
 
     def project(self, x: np.ndarray) -> np.ndarray:
