@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.common import give_back, short_batches
+
 _WS = r"\p{IsWhite_Space}"
 #: The pre-tokens of byte-level BPE, in Java's dialect.
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!\P{{IsWhite_Space}})|{_WS}+"
 #: Outside these blocks the letter and number classes of two Unicode versions may differ.
 _PLAIN = r"^[\x{0}-\x{52F}\x{1E00}-\x{2BFF}\x{3000}-\x{9FBF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}]*+$"
 #: Distinct words that a task keeps, and rows it works on at a time.
-CACHE, ROWS = 400_000, 500
+CACHE, ROWS = 200_000, 500
 
 
 def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
@@ -44,7 +46,7 @@ def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
 
 
 class _Words:
-    """Distinct words and their ids, as a ragged array that is rebuilt when it is full."""
+    """Distinct words and their ids, as a ragged array that is emptied when it is full."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,7 +59,7 @@ class _Words:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.starts, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def text(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -68,13 +70,15 @@ class _Words:
         if len(self.at) > CACHE:
             self.clear()
         fresh = [w for w in words if w not in self.at]
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.at[w] = len(self.ids)
-            self.ids.append(e.ids)
-        found = [self.ids[self.at[w]] for w in words]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(lens.sum()))
-        return np.cumsum(lens) - lens, lens, flat
+        if fresh:
+            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+            lens = np.fromiter(map(len, found), np.int32, len(found))
+            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens, dtype=np.int64) - lens])
+            self.lens = np.concatenate([self.lens, lens])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lens.sum()))])
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        return self.starts[at], self.lens[at].astype(np.int64), self.ids
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -106,6 +110,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     """
     schema = T.StructType([f for f in df.schema if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
     keep = [c for c in df.columns if c != ids]
+    short_batches(df.sparkSession)
     special = vocabulary(path)[1]
     body = F.coalesce(F.col(text), F.lit(""))
     odd = ~body.rlike(_PLAIN)
@@ -120,6 +125,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 b = whole.slice(i, ROWS)
                 got = _encode(words, b.column("_pieces"), b.column("_odd").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), got], [*keep, ids])
+        words.clear()
+        give_back()
 
     return split.mapInArrow(run, schema)
 
@@ -131,6 +138,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     """
     schema = T.StructType([f for f in df.schema if f.name != decoded] + [T.StructField(decoded, T.StringType())])
     keep = [c for c in df.columns if c != decoded]
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(vocabulary(path)[0], pa.binary())
@@ -146,5 +154,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 except pa.ArrowInvalid:
                     texts = pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), texts], [*keep, decoded])
+        give_back()
 
     return df.mapInArrow(run, schema)

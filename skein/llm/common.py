@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a batch is in memory several times.
+ARROW_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ARROW_ROWS rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on and runs tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 #: A table of up to so many narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import give_back, short_batches
+
 TEXT_COLUMNS, META_COLUMNS = 1 << 14, 1 << 12
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 4, 0.97, 0.5
 #: Bounds of the samples: rows of each label, unlabelled rows, characters of one of them.
@@ -72,6 +74,12 @@ def text_view(texts: Iterable[str | None]) -> Sparse:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values).astype(float), len(texts)
 
 
+def joined(parts: Sequence[Sparse]) -> Sparse:
+    """The rows of several parts, one after the other."""
+    first = np.cumsum([0] + [p[3] for p in parts])
+    return np.concatenate([p[0] + f for p, f in zip(parts, first[:-1], strict=True)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), int(first[-1])
+
+
 def meta_view(columns: Sequence[Sequence]) -> Sparse:
     """One-hot columns of the metadata: each value, numbers by their size, and each pair of columns."""
     count = len(columns[0]) if columns else 0
@@ -153,7 +161,7 @@ class CoTrained:
         share = (y[known] == 1).mean()
         prior = min(max(prior, 1e-3), 1 - 1e-3)
         weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-        xs = [text_view(texts), meta_view(meta)]
+        xs = [joined([text_view(texts[i : i + 500]) for i in range(0, len(texts), 500)]), meta_view(meta)]
         given = [np.where(known & ~kept, y, -1) for _ in xs]  # what each view learns from
         pool = ~known
         for turn in range(rounds + 1):
@@ -184,6 +192,7 @@ class CoTrained:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", meta: Sequence[str] = ("source", "lang", "n_chars"), sample: int = SAMPLE, pool: int = POOL, longest: int = LONGEST) -> CoTrained:
     """Fits on the `sample` rows of each label and the `pool` unlabelled rows with the smallest hash of doc_id. Of
     these, rows of more than `longest` characters, null ids and labels other than 0 and 1 are passed over."""
+    short_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_d"), F.col(label).cast("int").alias("_y")).where("_d IS NOT NULL AND _y IN (0, 1)").dropDuplicates(["_d"])
     prior = known.agg(F.avg("_y")).first()[0] or 0.0
     first = lambda df, n: df.orderBy(F.xxhash64("_d"), "_d").limit(n)
@@ -203,6 +212,7 @@ def score(model: CoTrained, text: Column, *meta: Column) -> Column:
         for i in range(0, len(texts), 500):
             parts.append(np.column_stack(model.scores(texts.slice(i, 500).to_pylist(), [c.slice(i, 500).to_pylist() for c in columns])))
         found = np.concatenate(parts) if parts else np.zeros((0, 3))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(3)], ["text_score", "meta_score", "score"])
 
     @F.arrow_udf("struct<text_score:double,meta_score:double,score:double>")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import saved
+from skein.llm.common import saved, short_batches
 
 #: A subtree in so many different contexts of a host is template.
 CONTEXTS = 4
@@ -186,6 +186,7 @@ def main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", page: s
     Null html counts as empty; a null or hostless url is a host of its own. Rows that repeat stay; equal pages of a
     host count once. Columns with other names are ignored; an empty table gives no rows.
     """
+    short_batches(df.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("_h"), F.col(page).alias("_p"))
 

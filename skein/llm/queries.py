@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, chat, cotrain, decontam, html_extract, quality_rules, secrets, simhash, toxicity, warc
-from skein.llm.common import checkpoint_dir, saved
+from skein.llm.common import checkpoint_dir, saved, short_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     found = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("s"))
     digest = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, saved, sized
+from skein.llm.common import components, give_back, saved, short_batches, sized
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
@@ -92,6 +92,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     zero. Rows that repeat a doc_id stay, each under its own text's component. Other columns are ignored; an empty
     table gives no rows.
     """
+    short_batches(df.sparkSession)
     docs = saved(df.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
     prints = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(prints.select("fp")))
@@ -139,6 +140,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     rest is verified exactly. In a band's bucket each content is compared with two others only, the most central one
     (whose buckets are the fullest) and the one with the smallest key, so a large group costs its size.
     """
+    short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
 
     @F.arrow_udf("struct<bands:array<long>,fp:long,n:long>")
@@ -147,6 +149,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
         for t in texts.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
             rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "fp": int(np.uint64(simhash(t, shingle)).view(np.int64)), "n": len(s)})
+        give_back()
         return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("fp", pa.int64()), ("n", pa.int64())]))
 
     @F.arrow_udf("array<long>")

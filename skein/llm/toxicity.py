@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import give_back, short_batches
+
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
@@ -39,6 +41,11 @@ def tokenize(texts: Iterable[str | None]) -> tuple[pa.Array, np.ndarray, np.ndar
 
 def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, lengths): the hashed n-grams of each word between its boundaries, end to end."""
+    parts = [_char_grams(words[i : i + _CHUNK]) for i in range(0, len(words), _CHUNK)]
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def _char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words], np.int64)
     start = np.cumsum(size) - size
@@ -52,7 +59,7 @@ def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in GRAMS:
             fits = left >= n
             h = (rolling[fits] ^ (rolling[fits] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            rows.append((h >> np.uint64(64 - 14)).astype(np.int64))
+            rows.append((h >> np.uint64(64 - 14)).astype(np.int32))
             owners.append(owner[fits])
     rows, owners = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -271,6 +278,7 @@ def platt(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 60) -> tuple
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, longest: int = SAMPLE_WORDS) -> tuple[list[str | None], np.ndarray, float]:
     """(texts, labels, share of label 1 among all usable labels). The sample is the `sample` rows of each label with
     the smallest hash of doc_id, of those of at most `longest` words; rows with null doc_id or label are unusable."""
+    short_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_d"), F.col(label).cast("int").alias("_y")).where("_d IS NOT NULL AND _y IN (0, 1)").dropDuplicates(["_d"])
     share = known.agg(F.avg("_y")).first()[0] or 0.0
     picks = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d").limit(2 * sample) for y in (0, 1)]
@@ -288,6 +296,7 @@ def score(text: Column, net: Network) -> Column:
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         parts = [net.scores(texts.slice(i, 500).to_pylist()) for i in range(0, len(texts), 500)]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return of(text)
