@@ -101,17 +101,30 @@ def _encode(words: _Words, pieces: pa.ListArray, odd: list[str | None]) -> pa.Li
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _decode(table: pa.Array, lists: pa.ListArray) -> pa.Array:
+    lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+    offsets = pc.subtract(lists.offsets, lists.offsets[0])
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(lists.flatten())), b"")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`df` and a column `ids` of array<int>: the token ids of the whole text, as the tokenizers library gives them
-    with add_special_tokens=False and no truncation or padding.
+    with add_special_tokens=False and no truncation or padding. With `decoded`, that column has what `decode` makes of
+    the ids, in the same pass.
 
     Null and empty texts have no ids. Special strings in a text become their ids. Rows and all other columns stay as
     they are; a column already named as `ids` is replaced. `path` is a tokenizer file that every executor can open.
     """
-    schema = T.StructType([f for f in df.schema if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    keep = [c for c in df.columns if c != ids]
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    schema = T.StructType([f for f in df.schema if f.name not in (ids, decoded)] + new)
+    keep = [c for c in df.columns if c not in (ids, decoded)]
     short_batches(df.sparkSession)
-    special = vocabulary(path)[1]
+    pieces, special = vocabulary(path)
+    table = pa.array(pieces, pa.binary())
     body = F.coalesce(F.col(text), F.lit(""))
     odd = ~body.rlike(_PLAIN)
     for s in special:
@@ -124,7 +137,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             for i in range(0, whole.num_rows, ROWS):
                 b = whole.slice(i, ROWS)
                 got = _encode(words, b.column("_pieces"), b.column("_odd").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), got], [*keep, ids])
+                more = [_decode(table, got)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), got, *more], schema.names)
         words.clear()
         give_back()
 
@@ -140,20 +154,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     keep = [c for c in df.columns if c != decoded]
     short_batches(df.sparkSession)
 
+    table = pa.array(vocabulary(path)[0], pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(vocabulary(path)[0], pa.binary())
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 b = whole.slice(i, ROWS)
-                lists = b.column(ids)
-                lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
-                offsets = pc.subtract(lists.offsets, lists.offsets[0])
-                joined = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(lists.flatten())), b"")
-                try:
-                    texts = joined.cast(pa.string())
-                except pa.ArrowInvalid:
-                    texts = pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), texts], [*keep, decoded])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _decode(table, b.column(ids))], schema.names)
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -45,7 +45,7 @@ def tokenizer_path() -> str:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, tokenizer_path()).drop("text"), tokenizer_path())
+    both = bpe.encode(docs, tokenizer_path(), decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
