@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from skein.errors import QueryError
 
 
-
 @dataclass(frozen=True)
 class Value:
     """What can be asked about a field: its kind, and its value as each kind (null where it isn't of that kind)."""
@@ -39,6 +38,11 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _leaf(c: Column) -> Column:
+    """The same as `_sure`, with the bare condition as a conjunct of its own: a scan can take that over."""
+    return c & _sure(c)
+
+
 def _none(_: Any) -> Column:
     return F.lit(False)
 
@@ -147,6 +151,10 @@ def _within(v: Value, x: Any) -> Column | None:
     x = list(x)
     numbers = [float(y) for y in x if isinstance(y, (bool, int, float))]
     strings = [y for y in x if isinstance(y, str)]
+    if strings and len(strings) == len(x):
+        return v.string.isin(*strings)
+    if numbers and len(numbers) == len(x):
+        return v.number.isin(*numbers)
     found = F.lit(False)
     if numbers:
         found = found | _sure(v.number.isin(*numbers))
@@ -178,24 +186,25 @@ def _regex(v: Value, x: Any) -> Column:
 def _between(v: Value, x: Any) -> Column:
     if not isinstance(x, (list, tuple)) or len(x) != 2:
         raise QueryError("$between takes two bounds")
-    return _sure(_compare("$gte")(v, x[0])) & _sure(_compare("$lte")(v, x[1]))
+    return _leaf(_compare("$gte")(v, x[0])) & _leaf(_compare("$lte")(v, x[1]))
 
 
 def _condition(op: str, v: Value, x: Any) -> Column:
     if op == "$exists":
         return v.present if x else ~v.present
     if op == "$eq":
-        return _sure(_equal(v, x))
+        return _leaf(_equal(v, x))
     if op == "$ne":
         return ~_sure(_equal(v, x))
     if op in ("$gt", "$gte", "$lt", "$lte"):
-        return _sure(_compare(op)(v, x))
+        return _leaf(_compare(op)(v, x))
     if op == "$in":
         found = _within(v, x)
-        return F.lit(False) if found is None else _sure(found)
+        return F.lit(False) if found is None else _leaf(found)
     if op == "$nin":
         found = _within(v, x)
-        return ~v.present | (F.lit(False) if found is None else F.coalesce(~found, F.lit(False)))
+        outside = F.lit(False) if found is None else _sure(~found) if isinstance(x, str) else ~_sure(found)
+        return ~v.present | outside
     if op == "$contains":
         return _contains(v, x)
     if op == "$regex":
