@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,3 +33,18 @@ def terms(text: Column, *, lowercase: bool = True, stopwords: Iterable[str] | No
     if stop or min_length > 1:
         found = F.filter(found, lambda t: (~t.isin(*stop) if stop else F.lit(True)) & (F.length(t) >= min_length))
     return F.transform(found, stem) if stemmer else found
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """Analysis in two steps: the words of a text, and what becomes of each. The second step runs on exploded words,
+    where it is compiled; within an array it would be interpreted word by word."""
+
+    split: Callable[[Column], Column]
+    finish: Callable[[Column], Column] = lambda t: t
+
+    def __call__(self, text: Column) -> Column:
+        return F.transform(self.split(text), self.finish)
+
+
+STANDARD = Analyzer(partial(terms, stemmer=False), stem)

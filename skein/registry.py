@@ -227,8 +227,8 @@ _TOKENS = f"tokens AS (SELECT doc_id AS id, {_terms_sql('text')} AS terms FROM d
 
 @query(f"WITH {_TOKENS} SELECT id, len(terms) AS n_terms, len(list_distinct(terms)) AS n_distinct FROM tokens")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = B.analyzed(table(spark, d, "documents"), "doc_id")
-    return found.select("id", F.col("length").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"))
+    found = table(spark, d, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("id"), X.terms(F.col("text")).alias("terms"))
+    return found.select("id", F.size("terms").cast("long").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_'']+')) AS t FROM documents)
