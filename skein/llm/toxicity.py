@@ -54,7 +54,7 @@ def _char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rolling, rows, owners = np.zeros(len(codes), np.uint64), [], []
     for n in range(1, GRAMS[-1] + 1):
         ahead = np.zeros(len(codes), np.uint64)
-        ahead[: len(codes) - n + 1] = codes[n - 1 :]
+        ahead[: max(len(codes) - n + 1, 0)] = codes[n - 1 :]
         rolling = rolling * np.uint64(1000003) + ahead + np.uint64(1)
         if n in GRAMS:
             fits = left >= n
@@ -284,7 +284,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_
     picks = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d").limit(2 * sample) for y in (0, 1)]
     picks = picks[0].unionByName(picks[1])
     # At most 4 * sample short rows: a proven bound, so the documents are not shuffled.
-    got = docs.join(F.broadcast(picks), docs[doc_id] == picks["_d"]).where(F.length(text) < longest * 8).select("_d", "_y", F.col(text).alias("_t"))
+    texts = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") < longest * 8)
+    got = texts.join(F.broadcast(picks), "_d").select("_d", "_y", "_t")
     got = [got.where(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d", F.xxhash64("_t")).limit(sample).collect() for y in (0, 1)]
     rows = sorted((r for part in got for r in part), key=lambda r: (zlib.crc32(str(r["_d"]).encode()), str(r["_d"]), r["_t"] or ""))
     return [r["_t"] for r in rows], np.array([r["_y"] for r in rows]), share
