@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import give_back, short_batches
+from skein.llm.common import free_name, give_back, short_batches
 
 _WS = r"\p{IsWhite_Space}"
 #: The pre-tokens of byte-level BPE, in Java's dialect.
@@ -129,14 +129,15 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     odd = ~body.rlike(_PLAIN)
     for s in special:
         odd = odd | body.contains(s)
-    split = df.select(*keep, F.when(odd, body).alias("_odd"), F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))).alias("_pieces"))
+    as_odd, as_pieces = (free_name(n, keep) for n in ("_odd", "_pieces"))
+    split = df.select(*keep, F.when(odd, body).alias(as_odd), F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))).alias(as_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(path)
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 b = whole.slice(i, ROWS)
-                got = _encode(words, b.column("_pieces"), b.column("_odd").to_pylist())
+                got = _encode(words, b.column(as_pieces), b.column(as_odd).to_pylist())
                 more = [_decode(table, got)] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), got, *more], schema.names)
         words.clear()

@@ -52,6 +52,14 @@ def give_back() -> None:
         pass
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, longer by underscores if a column is already called so (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: A table of up to so many narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

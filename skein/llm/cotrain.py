@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     other = docs.select(F.col(doc_id).alias("_d")).where("_d IS NOT NULL").join(labels.select(F.col(doc_id).alias("_d")), "_d", "left_anti").distinct()
     picks = first(known.where("_y = 0"), sample).unionByName(first(known.where("_y = 1"), sample)).unionByName(first(other, pool).withColumn("_y", F.lit(None).cast("int")))
     # At most 2 * sample + pool narrow rows: a proven bound, so the documents are not shuffled.
-    got = docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= longest).join(F.broadcast(picks), docs[doc_id] == picks["_d"])
-    rows = got.select("_d", "_y", F.col(text).alias("_t"), *(F.col(c).alias(f"_m{i}") for i, c in enumerate(meta))).orderBy(F.xxhash64("_d"), "_d", F.xxhash64("_t")).limit(2 * (2 * sample + pool)).collect()
+    narrow = docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= longest).select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"), *(F.col(c).alias(f"_m{i}") for i, c in enumerate(meta)))
+    rows = narrow.join(F.broadcast(picks), "_d").orderBy(F.xxhash64("_d"), "_d", F.xxhash64("_t")).limit(2 * (2 * sample + pool)).collect()
     return CoTrained([r["_t"] for r in rows], [[r[f"_m{i}"] for r in rows] for i in range(len(meta))], [r["_y"] for r in rows], prior)
 
 

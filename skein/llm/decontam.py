@@ -99,5 +99,5 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` without a leak; rows with a null id stay."""
-    found = leaks(docs, items, doc_id, **options).select(F.col("doc_id").alias("_l")).distinct()
-    return docs.join(sized(saved(found)), docs[doc_id] == F.col("_l"), "left_anti")
+    found = sized(saved(leaks(docs, items, doc_id, **options).select(F.col("doc_id").alias("_l")).distinct()))
+    return docs.join(found, docs[doc_id] == found["_l"], "left_anti")

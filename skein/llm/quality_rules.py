@@ -65,8 +65,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
 
     Without trusted documents all ratios are 0."""
     ids = trusted.select(F.col(doc_id).alias("_i")).where("_i IS NOT NULL").distinct()
-    flagged = docs.join(sized(ids.withColumn("_y", F.lit(1))), docs[doc_id] == F.col("_i"), "left")
-    hashes = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    flagged = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t")).join(sized(ids.withColumn("_y", F.lit(1))), "_i", "left")
+    hashes = F.transform(words(F.col("_t")), lambda w: F.xxhash64(w))
     seen = flagged.select("_y", hashes.alias("_w")).select("_y", F.explode(buckets(F.col("_w"))).alias("b"))
     counts = {r["b"]: (r["n"], r["t"]) for r in seen.groupBy("b").agg(F.count("*").alias("n"), F.count("_y").alias("t")).collect()}
     raw, target = (sum(c[k] for c in counts.values()) for k in (0, 1))
