@@ -159,11 +159,13 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     rows = df.select(F.md5(body).alias("key"), sketch(body).alias("s")).select("key", "s.*")
     each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("n").alias("n")))
     placed = each.select("key", F.explode("bands").alias("band"))
-    full = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
+    full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
     placed = saved(placed.join(full, "band"))
     central = placed.groupBy("key").agg(F.sum("size").alias("weight"))
     heads = placed.join(central, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("hub"), F.min("key").alias("low"))
-    pairs = placed.join(heads.select("band", F.array("hub.key", "low").alias("heads")), "band").select("key", F.explode("heads").alias("head"))
+    heads = saved(heads.select("band", F.array("hub.key", "low").alias("heads")))
+    pairs = placed.join(heads, "band").select("key", F.explode("heads").alias("head"))
     pairs = pairs.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
     a = each.select(F.col("key").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"))
     b = each.select(F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
