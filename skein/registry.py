@@ -314,6 +314,10 @@ def _rrf_sql(k: int | None, w0: float = 1.0, w1: float = 1.0, rrf_k: float = 60.
 ranked AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, r0 NULLS LAST, r1 NULLS LAST, id) AS rank FROM fused{cut})"""
 
 
+#: A query whose text matches nothing keeps its dense scores.
+_MERGED = "SELECT r.qid, r.id, round(CASE WHEN r.qid IN (SELECT qid FROM lexical) THEN r.score ELSE d.score END, 6) AS score, r.rank FROM ranked r LEFT JOIN dense d ON d.qid = r.qid AND d.id = r.id"
+
+
 def _lists(spark: SparkSession, d: str, k: int, spec: dict | None = None, texts: DataFrame | None = None) -> list[DataFrame]:
     docs, asked = corpus(spark, d), _hybrid_queries(spark, d)
     allow = compile_filter(spec, StructFields(docs.schema)).predicate
@@ -338,7 +342,7 @@ def weighted_minmax_fuse(spark: SparkSession, d: str) -> DataFrame:
     return shown(fusion.weighted_fusion(_lists(spark, d, 20), [0.4, 0.6]))
 
 
-@query(f"WITH {_hybrid_ctes(10, dense_where=chr(40) + 'lang = ' + repr('en') + chr(41))}, {_rrf_sql(10)} SELECT qid, id, round(score, 6) AS score, rank, lang, n_chars FROM ranked JOIN corpus USING (id)")
+@query(f"WITH {_hybrid_ctes(10, dense_where=chr(40) + 'lang = ' + repr('en') + chr(41))}, {_rrf_sql(10)} {_MERGED.replace("r.rank", "r.rank, c.lang, c.n_chars")} JOIN corpus c ON c.id = r.id")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: vector and text, English documents only, ten hits with their metadata."""
     docs = corpus(spark, d)
@@ -347,7 +351,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("id", "lang", "n_chars").join(B.sized(shown(hits)), "id").select("qid", "id", "score", "rank", "lang", "n_chars")
 
 
-@query(f"WITH {_hybrid_ctes(40)}, {_rrf_sql(10)} SELECT qid, id, round(score, 6) AS score, rank FROM ranked")
+@query(f"WITH {_hybrid_ctes(40)}, {_rrf_sql(10)} {_MERGED}")
 def hybrid_oversample(spark: SparkSession, d: str) -> DataFrame:
     plan = Planner().plan(k=10, live=0, filt=compile_filter(None, StructFields(corpus(spark, d).schema)), has_vector=True, has_text=True, oversample=4.0)
     return shown(fusion.merge(*_lists(spark, d, plan.fetch_k), plan.k))
@@ -356,8 +360,7 @@ def hybrid_oversample(spark: SparkSession, d: str) -> DataFrame:
 _HALF = "(SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN text ELSE 'xqzzyk' END AS text FROM benchmark)"
 
 
-@query(f"""WITH {_hybrid_ctes(10, items=_HALF)}, {_rrf_sql(10)}
-SELECT r.qid, r.id, round(CASE WHEN r.qid IN (SELECT qid FROM lexical) THEN r.score ELSE d.score END, 6) AS score, r.rank FROM ranked r LEFT JOIN dense d ON d.qid = r.qid AND d.id = r.id""")
+@query(f"WITH {_hybrid_ctes(10, items=_HALF)}, {_rrf_sql(10)} {_MERGED}")
 def hybrid_fallback_dense(spark: SparkSession, d: str) -> DataFrame:
     """Texts that match nothing leave the dense scores; queries with both lists are fused."""
     texts = query_texts(spark, d).withColumn("text", F.when(F.col("qid") % 2 == 0, F.col("text")).otherwise("xqzzyk"))
