@@ -105,8 +105,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 #: Min-hash bands and rows of one: two texts at the least similarity share a band with probability 0.99997.
 BANDS, BAND_ROWS = 20, 4
-#: Differing SimHash bits beyond which two texts are not compared; 32 is what unrelated texts differ by.
-FAR = 24
+#: Cells of a set's histogram, and the most that one counts.
+CELLS, FULL = 64, 127
 _MULTIPLIERS = (np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -130,34 +130,47 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def histogram(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall in each cell, FULL at most. The sum of two histograms' differences is at most
+    the number of hashes that are in one of the sets only, however the hashes fall."""
+    return np.minimum(np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), FULL)
+
+
+def may_reach(na: Column, nb: Column, ca: Column, cb: Column, least: float) -> Column:
+    """False only if the Jaccard similarity of two sets is below `least` for certain, by their sizes and histograms."""
+    apart = F.aggregate(F.zip_with(ca, cb, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+    # At similarity J, (1 - J) / (1 + J) of both sizes' sum is in one set only.
+    return (F.least(na, nb) >= least * F.greatest(na, nb)) & ((1 + least) * apart <= (1 - least) * (na + nb) + 1e-6)
+
+
 def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """`(key, root)` for every distinct content that is similar to another: the MD5 of the text, and the smallest key
     that links reach. Two contents link if the Jaccard similarity of their sets of word shingles is at least
     `min_similarity`.
 
     SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
-    candidates come from min-hash bands; pairs whose SimHash or size rules the similarity out are dropped, and the
-    rest is verified exactly. In a band's bucket each content is compared with two others only, the most central one
+    candidates come from min-hash bands; pairs whose sizes or histograms rule the similarity out for certain are
+    dropped, and the rest is verified exactly. In a band's bucket each content is compared with two others only, the most central one
     (whose buckets are the fullest) and the one with the smallest key, so a large group costs its size.
     """
     short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
 
-    @F.arrow_udf("struct<bands:array<long>,fp:long,n:long>")
+    @F.arrow_udf("struct<bands:array<long>,cells:array<tinyint>,n:long>")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
-            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "fp": int(np.uint64(simhash(t, shingle)).view(np.int64)), "n": len(s)})
+            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "cells": histogram(s).tolist(), "n": len(s)})
         give_back()
-        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("fp", pa.int64()), ("n", pa.int64())]))
+        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int8())), ("n", pa.int64())]))
 
     @F.arrow_udf("array<long>")
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
     rows = df.select(F.md5(body).alias("key"), sketch(body).alias("s")).select("key", "s.*")
-    each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.first("n").alias("n")))
     placed = each.select("key", F.explode("bands").alias("band"))
     # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
     full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
@@ -167,10 +180,10 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     heads = saved(heads.select("band", F.array("hub.key", "low").alias("heads")))
     pairs = placed.join(heads, "band").select("key", F.explode("heads").alias("head"))
     pairs = pairs.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
-    a = each.select(F.col("key").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-    b = each.select(F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
-    pairs = saved(pairs.join(a, "a").join(b, "b").where(near & (F.least("na", "nb") >= min_similarity * F.greatest("na", "nb"))).select("a", "b", "na", "nb"))
+    a = each.select(F.col("key").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na"))
+    b = each.select(F.col("key").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
+    near = may_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), min_similarity)
+    pairs = saved(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb"))
     # Shingles of one text per content that is in a pair.
     wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     texts = df.select(F.md5(body).alias("key"), body.alias("_t")).join(sized(wanted), "key")

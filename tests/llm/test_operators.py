@@ -194,3 +194,12 @@ def test_markov_models_tell_random_strings():
 def test_toxicity_with_one_label_only():
     net = toxicity.train(["a", "b"], [1, 1])
     assert net.scores(["x", None, ""]).min() > 0.99
+
+
+def test_a_copy_with_a_line_repeated_links(spark):
+    texts = []
+    for k in range(8):
+        w, line = words(300, 500 + k), words(12, 600 + k)
+        texts += [" ".join(w), " ".join(w + line * 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.distinct_documents(df).collect()) == list(range(0, 16, 2))
