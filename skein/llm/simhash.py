@@ -107,6 +107,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 BANDS, BAND_ROWS = 20, 4
 #: Cells of a set's histogram, and the most that one counts.
 CELLS, FULL = 64, 127
+#: Near-dedup compares all pairs that are left at once if there are at most so many for each content.
+PAIRS_EACH = 4
 _MULTIPLIERS = (np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -150,8 +152,10 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
 
     SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
     candidates come from min-hash bands; pairs whose sizes or histograms rule the similarity out for certain are
-    dropped, and the rest is verified exactly. In a band's bucket each content is compared with two others only, the most central one
-    (whose buckets are the fullest) and the one with the smallest key, so a large group costs its size.
+    dropped, and the rest is verified exactly. In a band's bucket each content is first compared with two heads only,
+    the most central one (whose buckets are the fullest) and the one with the smallest key, so a large group costs its
+    size. Then all pairs of a bucket that links don't connect yet are compared. While these are many, one more head a
+    bucket, another each turn, goes first: what it links need not be paired. No pair of a bucket is left out.
     """
     short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -180,18 +184,43 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     heads = saved(heads.select("band", F.array("hub.key", "low").alias("heads")))
     pairs = placed.join(heads, "band").select("key", F.explode("heads").alias("head"))
     pairs = pairs.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+    near = may_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), min_similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The edges among pairs `(a, b, na, nb)`."""
+        pairs = saved(pairs)
+        # Shingles of one text per content that is in a pair.
+        wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        texts = df.select(F.md5(body).alias("key"), body.alias("_t")).join(sized(wanted), "key")
+        sets = saved(texts.select("key", hashes(F.col("_t")).alias("h")).groupBy("key").agg(F.first("h").alias("h")))
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
+        both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
+        return saved(both.where(F.when(F.col("total") == 0, True).otherwise(F.col("shared") >= min_similarity * (F.col("total") - F.col("shared")))).select("a", "b"))
+
     a = each.select(F.col("key").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na"))
     b = each.select(F.col("key").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
-    near = may_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), min_similarity)
-    pairs = saved(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb"))
-    # Shingles of one text per content that is in a pair.
-    wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    texts = df.select(F.md5(body).alias("key"), body.alias("_t")).join(sized(wanted), "key")
-    sets = saved(texts.select("key", hashes(F.col("_t")).alias("h")).groupBy("key").agg(F.first("h").alias("h")))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
-    both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
-    edges = both.where(F.when(F.col("total") == 0, True).otherwise(F.col("shared") >= min_similarity * (F.col("total") - F.col("shared")))).select("a", "b")
-    return components(edges).select(F.col("node").alias("key"), "root")
+    edges = verified(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb"))
+    turn, found = 0, True
+    while True:
+        roots = saved(components(edges).select(F.col("node").alias("key"), "root"))
+        # The buckets that links don't connect yet, with what the bounds need.
+        rooted = placed.select("key", "band").join(roots, "key", "left").select("key", "band", F.coalesce("root", "key").alias("root"))
+        mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        apart = saved(rooted.join(mixed, "band").join(each.select("key", "cells", "n"), "key"))
+        if apart.isEmpty():
+            return roots
+        left = apart.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("cells").alias("ca"), F.col("n").alias("na"))
+        right = apart.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
+        rest = left.join(right, "band").where("a < b AND ra <> rb").where(near).select("a", "b", "na", "nb")
+        few = PAIRS_EACH * each.count()
+        if not found or rest.limit(few + 1).count() <= few:
+            return components(edges.union(verified(rest.distinct()))).select(F.col("node").alias("key"), "root")
+        head = F.min_by(F.struct("b", "rb", "cb", "nb"), F.xxhash64(F.lit(turn), "band", "b")).alias("h")
+        heads = right.groupBy("band").agg(head).select("band", "h.*")
+        more = verified(left.join(heads, "band").where("ra <> rb").where(near).select("a", "b", "na", "nb").distinct())
+        # Turns end when they find little: the rest is then compared, however much it is.
+        turn, found = turn + 1, 20 * more.count() > apart.select("key").distinct().count()
+        edges = saved(edges.union(more))
 
 
 def distinct_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:

@@ -203,3 +203,20 @@ def test_a_copy_with_a_line_repeated_links(spark):
         texts += [" ".join(w), " ".join(w + line * 60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.distinct_documents(df).collect()) == list(range(0, 16, 2))
+
+
+@pytest.mark.parametrize("each", [0, 4])
+def test_pairs_similar_to_no_head_link(spark, monkeypatch, each):
+    """Texts that share most of a long passage meet in buckets of many; only some pairs of them are similar."""
+    monkeypatch.setattr(simhash, "PAIRS_EACH", each, raising=False)
+    passage, texts = words(530, 700), []
+    for k in range(40):
+        own = words(10, 800 + k // 2)
+        texts.append(" ".join(passage + own + words(60, 900 + k)))
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    from tests.llm.test_queries import union
+
+    root = union(40, [(i, j) for i in range(40) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [i for i in range(40) if root[i] == i]
+    assert len(want) == 20 and sorted(r["doc_id"] for r in simhash.distinct_documents(df).collect()) == want
