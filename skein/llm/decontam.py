@@ -3,9 +3,9 @@
 A window of a document is as long as the item it is compared with. Its SimHash and the item's are cut into
 RADIUS + 1 blocks: within RADIUS differing bits some block is equal, so the block test loses no pair within the radius;
 pairs that pass are compared by the exact similarity of their weighted shingles (a shingle weighs its number of
-occurrences: sum of minima over sum of maxima). A window that shares no shingle with an item has similarity 0, so only
-windows aligned on a shared shingle are fingerprinted; that loses nothing. All of it is built-in expressions. A
-document's windows are found within its row, and only what hits an item is shuffled.
+occurrences: sum of minima over sum of maxima). A window that is similar enough holds a least number of positions whose
+shingle is one of the item's, in any order; every window that does is fingerprinted, so none is lost. All of it is
+built-in expressions. Only what hits an item is shuffled, and only documents with such a window are read again.
 """
 
 from __future__ import annotations
@@ -70,7 +70,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     own = saved(own.withColumn("item_print", simhash(F.col("item"))).withColumn("m", F.size("item")))
     at = own.select("item_id", "item", "item_print", "m", F.posexplode("item").alias("q", "h"))
     known = at.select("h").distinct()
-    longest = own.agg(F.max("m")).first()[0] or 1
     some = [r["h"] for r in known.limit(inline + 1).collect()]
     found = docs.select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("_s"))
     each = F.sequence(F.lit(0), F.size("_s") - 1)
@@ -81,11 +80,24 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     else:
         hit = F.when(F.size("_s") > 0, each).otherwise(F.array().cast("array<int>"))
     found = found.withColumn("_p", hit).where(F.size("_p") > 0)
-    low = lambda p: F.greatest(p - (longest - 1), F.lit(0))
-    around = lambda p: F.struct(p.alias("p"), F.get("_s", p).alias("h"), low(p).alias("low"), F.slice("_s", low(p) + 1, F.lit(2 * longest - 1)).alias("near"), F.size("_s").alias("n"))
-    hits = found.select("doc_id", F.inline(F.transform("_p", around))).join(at, "h")
-    start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")), F.lit(0))
-    pairs = hits.withColumn("start", start).select("doc_id", "item_id", "item", "item_print", "start", F.slice("near", F.col("start") - F.col("low") + 1, F.col("m")).alias("window"))
+    # Rows of one document and text are one; `x` tells a document's texts apart.
+    found = found.select("doc_id", F.xxhash64("_s").alias("x"), F.size("_s").alias("n"), F.inline(F.transform("_p", lambda p: F.struct(p.alias("p"), F.get("_s", p).alias("h")))))
+    size = F.least("n", "m")
+    # Of both sizes' sum, similarity s takes s / (1 + s) in shared shingles.
+    hits = found.join(at.select("item_id", "m", F.xxhash64("item").alias("y"), "h").distinct(), "h").groupBy("doc_id", "x", "n", "item_id", "m", "y").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    hits = hits.withColumn("need", F.greatest(F.ceil(min_similarity / (1 + min_similarity) * (size + F.col("m")) - 1e-6).cast("int"), F.lit(1))).where(F.size("ps") >= F.col("need"))
+    # The windows that hold the i-th and the need - 1 next hits.
+    first = lambda i: F.greatest(F.get("ps", i + F.col("need") - 1) - size + 1, F.lit(0))
+    last = lambda p: F.least(p, F.col("n") - size)
+    starts = F.flatten(F.transform("ps", lambda p, i: F.when((i + F.col("need") <= F.size("ps")) & (first(i) <= last(p)), F.sequence(first(i), last(p))).otherwise(F.array().cast("array<int>"))))
+    hits = saved(hits.select("doc_id", "x", "item_id", "y", F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0))
+    ids = sized(hits.select(F.col("doc_id").alias("_l")).distinct())
+    again = docs.join(ids, docs[doc_id].eqNullSafe(ids["_l"]), "left_semi").select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("_s"))
+    again = saved(again.withColumn("x", F.xxhash64("_s")).dropDuplicates(["doc_id", "x"])).select(F.col("doc_id").alias("_l"), F.col("x").alias("_x"), "_s")
+    pairs = hits.join(again, F.col("doc_id").eqNullSafe(F.col("_l")) & (F.col("x") == F.col("_x"))).select("doc_id", "item_id", "y", "_s", F.explode("starts").alias("start"))
+    whole = own.select(F.col("item_id").alias("_i"), F.xxhash64("item").alias("_y"), "item", "item_print", "m").dropDuplicates(["_i", "_y"])
+    pairs = pairs.join(sized(whole, 10_000), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")))
+    pairs = pairs.select("doc_id", "item_id", "item", "item_print", "start", F.slice("_s", F.col("start") + 1, F.col("m")).alias("window"))
     # Each window once, and fingerprinted once: written down, else the tests below would be moved under the grouping.
     pairs = saved(pairs.distinct().withColumn("print", simhash(F.col("window"))))
     a, b = F.col("print"), F.col("item_print")

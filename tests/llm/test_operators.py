@@ -220,3 +220,32 @@ def test_pairs_similar_to_no_head_link(spark, monkeypatch, each):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = [i for i in range(40) if root[i] == i]
     assert len(want) == 20 and sorted(r["doc_id"] for r in simhash.distinct_documents(df).collect()) == want
+
+
+def test_leaks_in_another_order_like_brute_force(spark):
+    from collections import Counter
+
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    items = {i: words(60 + 20 * i, 1100 + i) for i in range(3)}
+    docs = {}
+    for k in range(9):
+        w, cut = items[k % 3], (3 + k // 3) * len(items[k % 3]) // 8
+        docs[k] = words(30 * k, 1200 + k) + w[cut:] + w[:cut] + words(100, 1300 + k)
+    docs[9] = items[0][20:] + items[0][:20]
+    want = {}
+    for k, w in docs.items():
+        for i, item in items.items():
+            a, best = Counter(grams(item)), 0.0
+            for s in range(max(1, len(w) - len(item) + 1)):
+                b = Counter(grams(w[s : s + len(item)]))
+                best = max(best, sum((a & b).values()) / sum((a | b).values()))
+            if best >= 0.8:
+                want[k, i] = round(best, 6)
+    assert len(want) == 10
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for inline in (50_000, 0):
+        found = decontam.leaks(d, t, inline=inline, radius=64).collect()
+        assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in found} == want
+        near = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.leaks(d, t, inline=inline).collect()}
+        assert len(near) >= 8 and set(near) <= set(want)
