@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and character Markov models for what the patterns miss.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
-labelled samples. A long token with letters and digits that overlaps no pattern is a secret if its log-likelihood
-ratio per character passes the threshold, which is set on labelled samples that were held out.
+labelled samples. A long token, or what a pattern leaves of one if that is as long, is a secret if its log-likelihood
+ratio per character passes the threshold, which is set on labelled samples that were held out; without both letters
+and digits it must pass that of ordinary names of this kind.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ _I = re.ASCII | re.IGNORECASE
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more among [0-9a-f]+
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LONG = 16
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LONG},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 TYPE = "array<struct<kind:string,start:int,end:int>>"
@@ -86,6 +88,10 @@ class MarkovModels:
         scores = {k: sorted(self.score(t) for t, y in held if y == k) for k in (0, 1)}
         low, high = (scores[0][-1], scores[1][len(scores[1]) // 100]) if scores[0] and scores[1] else (0.0, 0.0)
         self.threshold = max((low + high) / 2, 0.0)
+        # Half-way again from there to the 10 % quantile of random strings without digits.
+        plain = sorted(self.score(t) for t, y in labelled if not y and not (_DIGIT.search(t) and _LETTER.search(t)))
+        wild = sorted(self.score(t) for t, y in labelled if y and not _DIGIT.search(t))
+        self.strict = max(self.threshold, (plain[-1] + max(plain[-1], wild[len(wild) // 10])) / 2) if plain and wild else self.threshold
 
     @staticmethod
     def codes(text: str) -> np.ndarray:
@@ -98,6 +104,16 @@ class MarkovModels:
         return float(self.ratio[codes[:-1], codes[1:]].mean())
 
 
+def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted `spans` leave of start to end."""
+    parts = []
+    for s, e in spans:
+        if e > start and s < end:
+            parts.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*parts, (start, end)] if e - s >= LONG]
+
+
 def scan(text: str, models: MarkovModels) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start, then kind as in KINDS."""
     found = []
@@ -109,9 +125,10 @@ def scan(text: str, models: MarkovModels) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     base = sorted((s, e) for _, s, e in found)
     for m in _TOKEN.finditer(text):
-        t = m[0]
-        if _DIGIT.search(t) and _LETTER.search(t) and not any(s < m.end() and m.start() < e for s, e in base) and models.score(t) > models.threshold:
-            found.append(("random", *m.span()))
+        for start, end in _outside(*m.span(), base) if base else [m.span()]:
+            t = text[start:end]
+            if models.score(t) > (models.threshold if _DIGIT.search(t) and _LETTER.search(t) else models.strict):
+                found.append(("random", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -249,3 +249,18 @@ def test_leaks_in_another_order_like_brute_force(spark):
         assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in found} == want
         near = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.leaks(d, t, inline=inline).collect()}
         assert len(near) >= 8 and set(near) <= set(want)
+
+
+def test_scan_finds_random_keys_without_digits_and_beside_a_hex_run():
+    models = secrets.MarkovModels(secrets.samples())
+    rng = random.Random(77)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    key = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    letters = [key(upper + lower, 32) for _ in range(300)]
+    assert sum(secrets.scan(f"key {t} end", models) == [("random", 4, 36)] for t in letters) > 270
+    mixed = [key(upper + lower + "0123456789", 30) for _ in range(100)]
+    runs = [key("0123456789abcdef", 24) for _ in mixed]
+    found = [{k for k, *_ in secrets.scan(f"{t}Z_{r}", models)} for t, r in zip(mixed, runs, strict=True)]
+    assert sum(f == {"hex", "random"} for f in found) > 95
+    names = [t for t, y in secrets.samples(4000, seed=5) if not y]
+    assert sum(bool(secrets.scan(t, models)) for t in names) < 0.01 * len(names)
