@@ -1,11 +1,16 @@
 """Benchmark decontamination by SimHash windows and exact shingle similarity.
 
-A window of a document is as long as the item it is compared with. Its SimHash and the item's are cut into
-RADIUS + 1 blocks: within RADIUS differing bits some block is equal, so the block test loses no pair within the radius;
-pairs that pass are compared by the exact similarity of their weighted shingles (a shingle weighs its number of
-occurrences: sum of minima over sum of maxima). A window that is similar enough holds a least number of positions whose
-shingle is one of the item's, in any order; every window that does is fingerprinted, so none is lost. All of it is
-built-in expressions. Only what hits an item is shuffled, and only documents with such a window are read again.
+A window of a document is as long as the item it is compared with, and items and windows are fingerprinted by the
+SimHash of their word shingles. Fingerprints meet by a multi-index over BLOCKS blocks: if two differ in at most RADIUS
+bits, some block differs in at most RADIUS // BLOCKS bits, so every block value that near to an item's is listed for
+the item, and a window is looked up by its own block values. No pair within the radius is lost. Pairs that meet within
+the radius are compared by the exact similarity of their weighted shingles (a shingle weighs its number of occurrences:
+sum of minima over sum of maxima).
+
+Which windows are fingerprinted: those that hold enough positions, in any order, whose shingle occurs in some item of
+the window's size. A window that is similar enough to an item of that size always does. Equal windows are fingerprinted
+and compared once, however many documents hold them. All of it is built-in expressions. What is shuffled are shingles
+that occur in an item and windows around them, not texts; only documents with such a window are read again.
 """
 
 from __future__ import annotations
@@ -16,9 +21,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import let, saved, sized, words
 from skein.llm.quality_rules import grams
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Up to so many distinct shingles of all items are tested within a document's row; beyond, by a shuffled join.
-INLINE = 50_000
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of 64 bits are compared up to RADIUS differing bits: BLOCKS * (4 + 1) - 1, so that blocks differ in 4 at most.
+BLOCKS, RADIUS = 4, 19
 
 
 def shingles(text: Column, width: int = SHINGLE) -> Column:
@@ -35,20 +40,18 @@ def simhash(hashes: Column) -> Column:
     return let(hashes, lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(h, b))))
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 blocks of 64 bits."""
-    n = radius + 1
-    ends = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+def keys(fingerprint: Column, blocks: int = BLOCKS) -> Column:
+    """The block values of a fingerprint, each with its block's number: array of (block, value)."""
+    bits = 64 // blocks
+    return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, bits * b).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int").alias("value")) for b in range(blocks)))
 
 
-def block_match(a: Column, b: Column, radius: int) -> Column:
-    """Whether two fingerprints agree on a block; certain if they differ in at most `radius` bits."""
-    differ = a.bitwiseXOR(b)
-    found = F.lit(False)
-    for shift, bits in blocks(radius):
-        found = found | (differ.bitwiseAND(F.lit((1 << bits) - 1 << shift if shift + bits < 64 else ((1 << bits) - 1 << shift) - (1 << 64)).cast("long")) == 0)
-    return found
+def near_keys(fingerprint: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
+    """The block values that differ from a fingerprint's in at most radius // blocks bits. A fingerprint within `radius`
+    of it has one of them: if each of its blocks differed in more, the sum would be over `radius`."""
+    each = radius // blocks
+    flips = F.filter(F.sequence(F.lit(0), F.lit((1 << 64 // blocks) - 1)), lambda m: F.bit_count(m) <= each)
+    return F.flatten(F.transform(keys(fingerprint, blocks), lambda k: F.transform(flips, lambda m: F.struct(k["block"].alias("block"), k["value"].bitwiseXOR(m).alias("value")))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -58,53 +61,62 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_similarity: float = SIMILARITY, radius: int = RADIUS, inline: int = INLINE) -> DataFrame:
-    """Per leaked (doc_id, item_id): similarity (of the best window), hamming and start_word (of the first such
-    window) and n_windows that reach `min_similarity` and differ from the item in at most `radius` fingerprint bits.
+def windows(docs: DataFrame, items: DataFrame, min_similarity: float = SIMILARITY) -> DataFrame:
+    """`(doc_id, x, m, starts)` of `docs` (doc_id, text): per document and text (x tells a document's texts apart) and
+    item size m, the starts of the windows of m shingles that may be similar to an item `(item, m)` of that size.
 
-    Items and documents of fewer than SHINGLE words have no shingles and so no leaks; null texts count as empty; rows
-    with a null id take part like any other, rows that repeat an id are taken together. A document shorter than an item
-    is compared whole. Items with the same text leak alike. Other columns are ignored.
-    """
-    own = items.select(F.col(item_id).alias("item_id"), shingles(F.col(text)).alias("item")).where(F.size("item") > 0)
-    own = saved(own.withColumn("item_print", simhash(F.col("item"))).withColumn("m", F.size("item")))
-    at = own.select("item_id", "item", "item_print", "m", F.posexplode("item").alias("q", "h"))
-    known = at.select("h").distinct()
-    some = [r["h"] for r in known.limit(inline + 1).collect()]
-    found = docs.select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("_s"))
-    each = F.sequence(F.lit(0), F.size("_s") - 1)
-    if len(some) <= inline:
-        listed = ",".join(f"{h}L" if h != -(1 << 63) else "(-9223372036854775807L - 1L)" for h in some) or "NULL"
-        hit = F.expr(f"filter(transform(_s, (h, i) -> if(h IN ({listed}), i, NULL)), i -> i IS NOT NULL)")
-        at = F.broadcast(at)
-    else:
-        hit = F.when(F.size("_s") > 0, each).otherwise(F.array().cast("array<int>"))
-    found = found.withColumn("_p", hit).where(F.size("_p") > 0)
-    # Rows of one document and text are one; `x` tells a document's texts apart.
-    found = found.select("doc_id", F.xxhash64("_s").alias("x"), F.size("_s").alias("n"), F.inline(F.transform("_p", lambda p: F.struct(p.alias("p"), F.get("_s", p).alias("h")))))
+    Of a window of w and an item of m shingles, similarity s takes s / (1 + s) * (w + m) shared shingles; so many
+    positions of the window have a shingle of an item of size m, whichever item that is."""
+    known = saved(items.select("m", F.explode("item").alias("h")).distinct())
+    found = docs.select("doc_id", shingles(F.col("text")).alias("_s")).where(F.size("_s") > 0)
+    # An array's hash and length stand for the text from here on; rows that repeat a document and text are one.
+    found = found.select("doc_id", F.xxhash64("_s").alias("x"), F.size("_s").alias("n"), F.posexplode("_s").alias("p", "h"))
+    hits = found.join(sized(known), "h").groupBy("doc_id", "x", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     size = F.least("n", "m")
-    # Of both sizes' sum, similarity s takes s / (1 + s) in shared shingles.
-    hits = found.join(at.select("item_id", "m", F.xxhash64("item").alias("y"), "h").distinct(), "h").groupBy("doc_id", "x", "n", "item_id", "m", "y").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     hits = hits.withColumn("need", F.greatest(F.ceil(min_similarity / (1 + min_similarity) * (size + F.col("m")) - 1e-6).cast("int"), F.lit(1))).where(F.size("ps") >= F.col("need"))
     # The windows that hold the i-th and the need - 1 next hits.
     first = lambda i: F.greatest(F.get("ps", i + F.col("need") - 1) - size + 1, F.lit(0))
     last = lambda p: F.least(p, F.col("n") - size)
     starts = F.flatten(F.transform("ps", lambda p, i: F.when((i + F.col("need") <= F.size("ps")) & (first(i) <= last(p)), F.sequence(first(i), last(p))).otherwise(F.array().cast("array<int>"))))
-    hits = saved(hits.select("doc_id", "x", "item_id", "y", F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0))
-    ids = sized(hits.select(F.col("doc_id").alias("_l")).distinct())
-    again = docs.join(ids, docs[doc_id].eqNullSafe(ids["_l"]), "left_semi").select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("_s"))
+    return hits.select("doc_id", "x", "m", F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0)
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Per leaked (doc_id, item_id): similarity (of the best window), hamming and start_word (of the first such
+    window) and n_windows that reach `min_similarity` and differ from the item in at most `radius` fingerprint bits.
+
+    Items and documents of fewer than SHINGLE words have no shingles and so no leaks; null texts count as empty; rows
+    with a null id take part like any other, rows that repeat an id are taken together. A document shorter than an item
+    is compared whole. Items with the same text leak alike. Other columns are ignored; empty tables give no rows.
+    Windows that tie go to the smaller start. A text is one value, so it must fit in a task; its length is not limited.
+    """
+    own = items.select(F.col(item_id).alias("item_id"), shingles(F.col(text)).alias("item")).where(F.size("item") > 0).distinct()
+    own = saved(own.withColumn("item_print", simhash(F.col("item"))).withColumn("m", F.size("item")))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    hits = saved(windows(plain, own, min_similarity))
+    ids = sized(saved(hits.select(F.col("doc_id").alias("_l")).distinct()))
+    again = plain.join(ids, plain["doc_id"].eqNullSafe(ids["_l"]), "left_semi").select("doc_id", shingles(F.col("text")).alias("_s"))
     again = saved(again.withColumn("x", F.xxhash64("_s")).dropDuplicates(["doc_id", "x"])).select(F.col("doc_id").alias("_l"), F.col("x").alias("_x"), "_s")
-    pairs = hits.join(again, F.col("doc_id").eqNullSafe(F.col("_l")) & (F.col("x") == F.col("_x"))).select("doc_id", "item_id", "y", "_s", F.explode("starts").alias("start"))
-    whole = own.select(F.col("item_id").alias("_i"), F.xxhash64("item").alias("_y"), "item", "item_print", "m").dropDuplicates(["_i", "_y"])
-    pairs = pairs.join(sized(whole, 10_000), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")))
-    pairs = pairs.select("doc_id", "item_id", "item", "item_print", "start", F.slice("_s", F.col("start") + 1, F.col("m")).alias("window"))
-    # Each window once, and fingerprinted once: written down, else the tests below would be moved under the grouping.
-    pairs = saved(pairs.distinct().withColumn("print", simhash(F.col("window"))))
-    a, b = F.col("print"), F.col("item_print")
-    pairs = pairs.where(block_match(a, b, radius)).withColumn("hamming", F.bit_count(a.bitwiseXOR(b))).where(F.col("hamming") <= radius)
+    found = hits.join(again, F.col("doc_id").eqNullSafe(F.col("_l")) & (F.col("x") == F.col("_x"))).select("doc_id", "m", "_s", F.explode("starts").alias("start"))
+    found = found.select("doc_id", "m", "start", F.slice("_s", F.col("start") + 1, F.col("m")).alias("window"))
+    # Equal windows are one from here on, known by two hashes and their size; they are written down, else what follows
+    # would be moved under the grouping and done for every copy.
+    name = [F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(1), F.reverse("window")).alias("w2")]
+    found = saved(found.select("doc_id", "m", "start", *name, "window"))
+    each = saved(found.groupBy("m", "w1", "w2").agg(F.first("window").alias("window")).withColumn("print", simhash(F.col("window"))))
+    prints = each.select("m", "print").distinct()
+    # The join of the multi-index: block values of windows and those near to an item's.
+    looked = prints.select("m", "print", F.explode(keys(F.col("print"), blocks)).alias("k")).select("m", "print", "k.*")
+    listed = own.select("m", "item_print").distinct().select("m", "item_print", F.explode(near_keys(F.col("item_print"), radius, blocks)).alias("k")).select("m", "item_print", "k.*")
+    met = looked.join(listed, ["m", "block", "value"]).select("m", "print", "item_print", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming"))
+    met = saved(met.where(F.col("hamming") <= radius).distinct())
+    # Exact: the distinct windows of a fingerprint against the items of the fingerprints it met.
+    pairs = each.join(met, ["m", "print"]).join(own.select("item_id", "item", "m", "item_print"), ["m", "item_print"])
     pairs = pairs.withColumn("similarity", similarity(F.col("item"), F.col("window"))).where(F.col("similarity") >= min_similarity)
+    pairs = saved(pairs.select("m", "w1", "w2", "item_id", "hamming", "similarity"))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start").alias("start"), F.col("hamming").alias("hamming"))).alias("b")
-    return pairs.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows")).select(
+    found = found.select("doc_id", "m", "start", "w1", "w2").distinct().join(sized(pairs), ["m", "w1", "w2"])
+    return found.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows")).select(
         "doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.hamming").cast("long").alias("hamming"), F.col("b.start").cast("long").alias("start_word"), "n_windows"
     )
 
