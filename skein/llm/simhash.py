@@ -2,10 +2,8 @@
 
 Candidates come from a grid: a fingerprint maps to the bit counts of its 32 segments, and two fingerprints at Hamming
 distance d are at most d apart in the Manhattan distance of these counts. Each fingerprint is put in the grid cells
-within half the radius of its own; two within the radius always meet in a cell, so a fingerprint alone in all its
-cells has no partner. Those that meet another are verified exactly, by the same midpoint argument on the Hamming cube:
-two are within the radius if and only if they share a point within half the radius of both. No pair is ever emitted,
-so a dense group costs its size, not its square; a midpoint has at most 65 fingerprints around it.
+within half the radius of its own counts, so two within the radius always meet in a cell. What meets is verified by the
+exact Hamming distance. Crowded cells are cut finer, so a dense group costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -16,10 +14,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, give_back, saved, short_batches, sized
+from skein.llm.common import components, give_back, saved, short_batches, sized, spread
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
+#: Fingerprints link at so many differing bits; cells of up to so many fingerprints are compared pair by pair.
+RADIUS, CROWD = 2, 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 
@@ -72,16 +72,27 @@ def midpoints(fp: Column) -> Column:
     return F.array(*(fp.bitwiseXOR(F.lit(x).cast("long")) for x in flips))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges `(a, b)` between fingerprints `fp` (each once) at Hamming distance 1 or 2: enough of them to connect all
-    that are linked, at most 64 a fingerprint."""
+    that are linked.
+
+    A grid range join: fingerprints that share a grid cell are the candidates, and their Hamming distance is computed.
+    A cell with two fingerprints names the pair itself; those of up to `crowd` are joined. Fuller cells are cut finer,
+    to points of the Hamming cube within half the radius: two fingerprints are within the radius if and only if they
+    share such a point, at most 65 fingerprints are around one, and all around one link to the smallest of them. So
+    no pair is lost and no cell's pairs are all emitted."""
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
     placed = prints.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    near = placed.join(shared, "cell", "left_semi").select("fp").distinct()
-    around = near.select("fp", F.explode(midpoints(F.col("fp"))).alias("mid"))
-    balls = around.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    edges = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    return edges.where("a <> b").distinct()
+    shared = saved(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    edges = shared.where("n = 2").where(near("a", "b")).select("a", "b").distinct()
+    more = saved(placed.join(sized(shared.where("n > 2").select("cell", "n")), "cell"))
+    some = more.where(F.col("n") <= crowd)
+    pairs = some.select("cell", F.col("fp").alias("a")).join(some.select("cell", F.col("fp").alias("b")), "cell")
+    edges = edges.unionByName(pairs.where("a < b").where(near("a", "b")).select("a", "b").distinct())
+    dense = more.where(F.col("n") > crowd).select("fp").distinct().select("fp", F.explode(midpoints(F.col("fp"))).alias("mid"))
+    balls = dense.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    star = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").where(near("a", "b"))
+    return edges.unionByName(star.distinct())
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -95,7 +106,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     short_batches(df.sparkSession)
     docs = saved(df.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
     prints = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(prints.select("fp")))
+    roots = components(links(spread(prints.select("fp"), "fp")))
     linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     lows = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(lows, "root").select("fp", "component_id").where("component_id <> first OR first IS NULL")
