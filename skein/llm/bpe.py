@@ -1,8 +1,10 @@
 """Byte-level BPE through a table of distinct words.
 
-Spark splits every text into pre-tokens; in each Arrow batch they are dictionary-encoded, each distinct one is
-encoded once per task, and the ids are joined back by position with a gather. Decoding is a gather through the
-id-to-piece table. The tables are per task and bounded, so nothing is shuffled and nothing grows with the corpus.
+Spark splits every text into pre-tokens ("words"). The distinct words of the corpus are one table, in which each is
+encoded once by the library and its ids are decoded through a join with the id-to-piece table. Texts are dealt into
+buckets of bounded size; a bucket's distinct words take their ids from the table by a join, and meet the bucket's texts
+in a cogroup, where ids (and decoded pieces) are joined back by position. What is shuffled is each text once and the
+distinct words of each bucket; frequent words and copies of a text cost one row a bucket.
 """
 
 from __future__ import annotations
@@ -14,19 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import free_name, give_back, short_batches
+from skein.llm.common import forget, free_name, give_back, saved, short_batches, sized
 
 _WS = r"\p{IsWhite_Space}"
 #: The pre-tokens of byte-level BPE, in Java's dialect.
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!\P{{IsWhite_Space}})|{_WS}+"
-#: Outside these blocks the letter and number classes of two Unicode versions may differ.
-_PLAIN = r"^[\x{0}-\x{52F}\x{1E00}-\x{2BFF}\x{3000}-\x{9FBF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}]*+$"
-#: Distinct words that a task keeps, and rows it works on at a time.
-CACHE, ROWS = 200_000, 500
+#: Characters that Java's Unicode tables don't know; the library's may, so a text with one is split by the library.
+UNKNOWN = r"\p{Cn}"
+#: Characters of a bucket's texts together, about.
+BUCKET = 4 << 20
 
 
 def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
@@ -45,123 +47,157 @@ def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
     return pieces, list(special.values())
 
 
-class _Words:
-    """Distinct words and their ids, as a ragged array that is emptied when it is full."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.starts, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-
-    def text(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, lengths, ids) of these distinct words."""
-        words = words.to_pylist()
-        if len(self.at) > CACHE:
-            self.clear()
-        fresh = [w for w in words if w not in self.at]
-        if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            lens = np.fromiter(map(len, found), np.int32, len(found))
-            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens, dtype=np.int64) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(lens.sum()))])
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return self.starts[at], self.lens[at].astype(np.int64), self.ids
-
-
-def ragged(starts: np.ndarray, lens: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """values[s : s + n] for each s, n, end to end."""
-    to = np.cumsum(lens)
-    return values[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - lens), lens)]
-
-
-def _encode(words: _Words, pieces: pa.ListArray, odd: list[str | None]) -> pa.ListArray:
-    flat = pc.dictionary_encode(pieces.flatten())
-    starts, lens, values = words.lookup(flat.dictionary)
-    at = np.asarray(flat.indices)
-    n = lens[at]
-    ids = ragged(starts[at], n, values)
-    first = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
-    ends = np.concatenate([[0], np.cumsum(n)])[first]
-    if any(t is not None for t in odd):
-        rows = [ids[a:b] if t is None else np.array(words.text(t), np.int32) for t, a, b in zip(odd, ends[:-1], ends[1:], strict=True)]
-        ids, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-
-
-def _decode(table: pa.Array, lists: pa.ListArray) -> pa.Array:
-    lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
-    offsets = pc.subtract(lists.offsets, lists.offsets[0])
-    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(lists.flatten())), b"")
-    try:
-        return joined.cast(pa.string())
-    except pa.ArrowInvalid:
-        return pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def split(text: Column, special: list[str]) -> Column:
+    """The words of a text, which joined give the text again. Special strings are words of their own, a text with
+    characters that this Unicode version doesn't know is one word; null and empty texts have none."""
+    body = F.coalesce(text, F.lit(""))
+    plain = lambda t: F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
+    out = F.when(body.rlike(UNKNOWN), F.filter(F.array(body), lambda t: t != ""))
+    if special:
+        quoted = "|".join(r"\Q" + s + r"\E" for s in special)
+        has = F.lit(False)
+        for s in special:
+            has = has | body.contains(s)
+        parts = F.split(body, f"(?={quoted})|(?<={quoted})")
+        out = out.when(has, F.flatten(F.transform(parts, lambda p: F.when(p.isin(*special), F.array(p)).otherwise(plain(p)))))
+    return out.otherwise(plain(body))
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The id-to-piece table `(id, piece)`: as many rows as the tokenizer has ids."""
+    found = vocabulary(path)[0]
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())}))
+
+
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """`(word, ids)` of a table of distinct words: the library encodes each by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        for b in batches:
+            ids = [e.ids for e in tokenizer.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def decode_words(encoded: DataFrame, path: str) -> DataFrame:
+    """`encoded` (word, ids) and `piece`, the bytes that the ids stand for: each id is looked up in the id-to-piece
+    table by a join (of a proven size: one row an id of the tokenizer)."""
+    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces(encoded.sparkSession, path)), "id")
+    back = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+    return encoded.join(back.select("word", joined.alias("piece")), "word", "left")
+
+
+def _buckets(df: DataFrame, text: str) -> Column:
+    """The bucket of a row. A partition's rows go to a few buckets of their own, so that a bucket's distinct words are
+    found where they are read; how many follows from the characters of all texts. Rows are dealt by their place, so
+    copies of a row are dealt out too."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    each = total // BUCKET // max(df.rdd.getNumPartitions(), 1) + 1
+    return F.xxhash64(F.spark_partition_id(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(each)))
+
+
+def _gather(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in the values, lengths) of the lists `at` of a ragged array."""
+    starts, lens = offsets[:-1][at], np.diff(offsets)[at]
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens), lens
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`df` and a column `ids` of array<int>: the token ids of the whole text, as the tokenizers library gives them
-    with add_special_tokens=False and no truncation or padding. With `decoded`, that column has what `decode` makes of
-    the ids, in the same pass.
+    with add_special_tokens=False and no truncation or padding. With `decoded`, that column has the text of the ids,
+    special strings included, through the id-to-piece join; bytes that are no UTF-8 become U+FFFD.
 
-    Null and empty texts have no ids. Special strings in a text become their ids. Rows and all other columns stay as
-    they are; a column already named as `ids` is replaced. `path` is a tokenizer file that every executor can open.
+    Null and empty texts have no ids and decode to an empty text. Special strings in a text become their ids. Rows,
+    repeated ones too, and all other columns stay as they are; a column already named as `ids` is replaced. An empty
+    table gives no rows. A text of any length is one value of one bucket. `path` is a tokenizer file that every executor
+    can open.
     """
-    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
-    schema = T.StructType([f for f in df.schema if f.name not in (ids, decoded)] + new)
     keep = [c for c in df.columns if c not in (ids, decoded)]
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    schema = T.StructType([df.schema[c] for c in keep] + new)
     short_batches(df.sparkSession)
-    pieces, special = vocabulary(path)
-    table = pa.array(pieces, pa.binary())
-    body = F.coalesce(F.col(text), F.lit(""))
-    odd = ~body.rlike(_PLAIN)
-    for s in special:
-        odd = odd | body.contains(s)
-    as_odd, as_pieces = (free_name(n, keep) for n in ("_odd", "_pieces"))
-    split = df.select(*keep, F.when(odd, body).alias(as_odd), F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))).alias(as_pieces))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
-                got = _encode(words, b.column(as_pieces), b.column(as_odd).to_pylist())
-                more = [_decode(table, got)] if decoded else []
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), got, *more], schema.names)
-        words.clear()
+    special = vocabulary(path)[1]
+    bucket, words = (free_name(n, keep) for n in ("_bucket", "_words"))
+    dealt = df.select(*keep, _buckets(df, text).alias(bucket))
+    # Distinct words: of a text and a bucket first, then of the corpus.
+    seen = saved(dealt.select(F.col(bucket).alias("bucket"), F.explode(F.array_distinct(split(F.col(text), special))).alias("word")).distinct())
+    table = encode_words(seen.select("word").distinct(), path)
+    table = saved(decode_words(saved(table), path) if decoded else table)
+    known = seen.join(sized(table), "word")
+    split_up = dealt.withColumn(words, split(F.col(text), special))
+
+    def join(texts: pa.Table, known: pa.Table) -> pa.Table:
+        column = texts.column(words).combine_chunks()
+        flat = column.flatten()
+        at = pc.index_in(flat, value_set=known.column("word").combine_chunks()).cast(pa.int64())
+        tokenizer = None
+        lists, parts = known.column("ids").combine_chunks(), known.column("piece").combine_chunks() if decoded else None
+        if at.null_count:  # a row was dealt anew after its bucket's words were listed
+            tokenizer = _tokenizer(path)
+            lost = pc.unique(flat.filter(at.is_null()))
+            more = [e.ids for e in tokenizer.encode_batch(lost.to_pylist(), add_special_tokens=False)]
+            lists = pa.concat_arrays([lists, pa.array(more, lists.type)])
+            parts = pa.concat_arrays([parts, lost.cast(parts.type)]) if decoded else None
+            at = pc.index_in(flat, value_set=pa.concat_arrays([known.column("word").combine_chunks(), lost])).cast(pa.int64())
+        at = at.to_numpy(zero_copy_only=False)
+        ends = np.asarray(column.offsets).astype(np.int64) - column.offsets[0].as_py()
+        where, lens = _gather(np.asarray(lists.offsets).astype(np.int64), at)
+        values = np.asarray(lists.values)[where]
+        upto = np.concatenate([[0], np.cumsum(lens)])[ends]
+        out = [pa.LargeListArray.from_arrays(pa.array(upto), pa.array(values)).cast(pa.list_(pa.int32()))]
+        if decoded:
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts.take(pa.array(at))), b"")
+            try:
+                out.append(whole.cast(pa.string()))
+            except pa.ArrowInvalid:
+                out.append(pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string()))
+        found = pa.table([*(texts.column(c) for c in keep), *out], names=schema.names)
+        del texts, known
         give_back()
+        return found
 
-    return split.mapInArrow(run, schema)
+    if decoded:
+        known = known.select("bucket", "word", "ids", "piece")
+    return split_up.groupBy(bucket).cogroup(known.groupBy("bucket")).applyInArrow(join, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`df` and a column `decoded`: the text of `ids`, special strings included; bytes that are no UTF-8 become U+FFFD.
+    For ids from anywhere: each task joins them with the id-to-piece table, which is as large as the tokenizer.
 
     Null ids give an empty text. Rows and other columns stay; a column already named as `decoded` is replaced.
     """
     schema = T.StructType([f for f in df.schema if f.name != decoded] + [T.StructField(decoded, T.StringType())])
     keep = [c for c in df.columns if c != decoded]
     short_batches(df.sparkSession)
-
     table = pa.array(vocabulary(path)[0], pa.binary())
 
+    def text(lists: pa.ListArray) -> pa.Array:
+        lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+        offsets = pc.subtract(lists.offsets, lists.offsets[0])
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(lists.flatten())), b"")
+        try:
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _decode(table, b.column(ids))], schema.names)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), text(b.column(ids))], schema.names)
         give_back()
 
     return df.mapInArrow(run, schema)
