@@ -1,10 +1,11 @@
 """Main text of HTML pages.
 
-Every element's subtree is hashed; Spark counts, per host, in how many different contexts (parent subtrees) a subtree
-occurs. One that recurs in many is part of the site's template and is deleted. Contexts, not pages, are counted, so
-copies of a page don't make its article a template. Elements that are never article text (navigation, footers, adverts,
-forms, comments, scripts and the like) go by their tag, role or class. Within an article, prose elements stay even if
-they recur.
+Every element's subtree is hashed by its tags and text; Spark counts, per host, on how many different pages each recurs.
+One that recurs on most of a host's pages is part of the site's template and is deleted, unless a page would keep next to
+nothing; one that recurs on many, though not most, is deleted unless a page would lose half its text: groups of near
+copies share as much. Elements that are never article text (navigation, footers, forms, scripts, adverts, reader
+comments and the like) also go by their tag, role or by what their class or id is called. Within an article, prose
+elements stay even if they recur.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import saved, short_batches
+from skein.llm.common import saved, short_batches, sized
 
-#: A subtree in so many different contexts of a host is template.
-CONTEXTS = 4
+#: A subtree on so many different pages of a host at least, and on the square root of all of them, is template if a page
+#: keeps LEFT of its text without it; one on the share MOST of them if a page keeps LEAST of it.
+PAGES, MOST, LEFT, LEAST = 3, 0.5, 0.5, 0.1
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,11 +33,15 @@ _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr table t
 _ROOT = frozenset(("html", "body", "article", "main"))
 _DROP = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe object embed svg canvas audio video dialog menu title noembed noframes xmp".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Words that tell: a class or id that begins or ends with one of these names an element that is no article text.
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side-bar rail footer masthead "
-    "cookie cookies cookie-notice cookie-banner consent gdpr banner notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
-    "recommendations comment comments commentlist comment-list discussion reader-comments replies disqus respond widget widgets pagination pager toolbar skip-link skip site-header site-footer page-header page-footer tags search searchbox form".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead "
+    "cookie cookies consent gdpr banner notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
+    "comment comments commentlist commentform discussion reply replies disqus respond widget widgets pagination pager toolbar skip".split()
 )
+#: Before one of these words, as in no-sidebar, the name tells of something else.
+_NOT = frozenset("no not non has have with without is hide show".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: An opening tag of these ends an open paragraph; of the second, an open element of the same kind.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -108,103 +114,147 @@ def _walk(root: Element):
 
 
 def _hash(root: Element) -> None:
+    """The hash of each subtree: tags and text, white space shortened. Attributes don't count, as links and ids differ
+    from page to page."""
     for e, _ in _walk(root):
-        parts = [e.name, "\x01", " ".join(e.attrs.split())]
+        parts = [e.name]
         for c in e.children:
-            parts += ["\x02", str(c.hash)] if isinstance(c, Element) else ["\x03", " ".join(c.split())]
+            parts += ["\x02", str(c.hash)] if isinstance(c, Element) else ["\x03", t] if (t := " ".join(c.split())) else []
         e.hash = xxhash.xxh64_intdigest("\x04".join(parts).encode("utf-8", "surrogatepass"), 1) - (1 << 63)
 
 
+def _telling(name: str) -> bool:
+    words = [w.lower() for w in _PARTS.findall(name)]
+    while words and words[-1].isdigit():
+        words.pop()
+    return bool(words) and (words[0] in _NAMES or (words[-1] in _NAMES and words[0] not in _NOT) or name.lower() in _NAMES)
+
+
 def _boilerplate(e: Element) -> bool:
     if e.name in _DROP:
         return True
     if not e.attrs.strip(" /"):
         return False
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(e.attrs)}
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in _ROLES:
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in _ROLES or attrs.get("itemprop", "").lower() == "comment":
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
-    return e.name not in _ROOT and any(n in _NAMES for n in names)
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    return e.name not in ("html", "body", "main") and any(map(_telling, names))
 
 
-def subtrees(page: str | None) -> list[tuple[int, int]]:
-    """(hash, parent's hash) of the elements of a page that may be template."""
-    root = parse(page or "")
-    _hash(root)
-    found, inside = set(), {}
-    for e, parent in reversed(list(_walk(root))):
-        inside[id(e)] = e.name in ("article", "main") or (parent is not None and inside[id(parent)])
-        if parent is None or e.name in _ROOT or e.name in _DROP or e.name in _INLINE or (e.name in _PROSE and inside[id(e)]):
-            continue
-        found.add((e.hash, parent.hash))
-    return sorted(found)
+#: Elements that may hold the main text, as bits.
+_BASES = {"main": 1, "article": 2}
 
 
-def extract(page: str | None, template: Iterable[int] = ()) -> str:
-    """The main text: the blocks of the page's articles (of its main element, or else its body) in page order."""
-    root, template = parse(page or ""), frozenset(template)
-    if template:
-        _hash(root)
-    elements = [e for e, _ in _walk(root)]
-    names = {e.name for e in elements}
-    base = "article" if "article" in names else "main" if "main" in names else None
-    blocks: list[str] = []
+def _blocks(root: Element, template: frozenset[int] = frozenset()) -> list[tuple[str, int]]:
+    """(text, in which of _BASES it lies) of the blocks of a page in order, without boilerplate and the subtrees whose
+    hash is in `template`."""
+    blocks: list[tuple[str, int]] = []
     run: list[str] = []
 
-    def flush() -> None:
+    def flush(base: int) -> None:
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, base))
         run.clear()
 
-    todo: list = [(root, base is None, False)]
+    todo: list = [(root, 0)]
     while todo:
-        e, kept, prose = todo.pop()
+        e, base = todo.pop()
         if e is None:
-            flush()
+            flush(base)
         elif isinstance(e, str):
             run.append(e)
         elif e.name == "br":
             run.append(" ")
-        elif _boilerplate(e) or (e.name == "header" and not (base and kept)) or (e.hash in template and e.name not in _ROOT and not ((e.name in _PROSE) and base and kept)):
+        elif _boilerplate(e) or (e.name == "header" and not base) or (e.hash in template and e.name not in _ROOT and not (base and e.name in _PROSE)):
             if e.name not in _INLINE:
-                flush()
+                flush(base)
         else:
-            kept = kept or e.name == base
-            block = e.name not in _INLINE
-            if block:
-                flush()
-                todo.append((None, kept, prose))
-            todo += [(c, kept, prose) for c in reversed(e.children) if kept or isinstance(c, Element)]
-    flush()
-    return "\n\n".join(blocks)
+            if e.name not in _INLINE:
+                flush(base)
+            base |= _BASES.get(e.name, 0)
+            if e.name not in _INLINE:
+                todo.append((None, base))
+            todo += [(c, base) for c in reversed(e.children)]
+    flush(0)
+    return blocks
+
+
+def subtrees(page: str | None) -> list[int]:
+    """Hashes of the elements of a page that may be template: those with text that are not dropped by their tag."""
+    root = parse(page or "")
+    _hash(root)
+    found, inside, text = set(), {}, {}
+    for e, _ in _walk(root):
+        text[id(e)] = any(text[id(c)] if isinstance(c, Element) else c.strip() for c in e.children) and e.name not in _DROP
+    for e, parent in reversed(list(_walk(root))):
+        dropped, prose = inside[id(parent)] if parent is not None else (False, False)
+        dropped = dropped or e.name in _DROP
+        inside[id(e)] = dropped, prose or e.name in ("article", "main")
+        if parent is not None and text[id(e)] and not dropped and e.name not in _ROOT and e.name not in _INLINE and not (prose and e.name in _PROSE):
+            found.add(e.hash)
+    return sorted(found)
+
+
+def extract(page: str | None, template: Iterable[int] = (), partly: Iterable[int] = ()) -> str:
+    """The main text: the blocks of the page's main element or of its articles, if most of its text lies there, else of
+    all of it, in page order. Subtrees of `template` are deleted if LEAST of the text is left, those of `partly` if LEFT
+    of what is left then."""
+    root, template, partly = parse(page or ""), frozenset(template), frozenset(partly)
+    if template or partly:
+        _hash(root)
+    size = lambda blocks: sum(len(t) for t, _ in blocks)
+
+    def blocks(gone: frozenset[int]) -> list[tuple[str, int]]:
+        found = _blocks(root, gone)
+        for bit in _BASES.values():
+            mine = [b for b in found if b[1] & bit]
+            if mine and 2 * size(mine) >= size(found):
+                return mine
+        return found
+
+    found, gone = blocks(frozenset()), frozenset()
+    for more, share in ((template, LEAST), (partly, LEFT)):
+        if more:
+            less = blocks(gone | more)
+            if size(less) >= share * size(found):
+                found, gone = less, gone | more
+    return "\n\n".join(t for t, _ in found)
 
 
-def main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", contexts: int = CONTEXTS) -> DataFrame:
+def main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", pages: int = PAGES, most: float = MOST) -> DataFrame:
     """Per row of `df`: page_id, url, text (empty if none).
 
     Null html counts as empty; a null or hostless url is a host of its own. Rows that repeat stay; equal pages of a
-    host count once. Columns with other names are ignored; an empty table gives no rows.
+    host count once. A host of fewer than `pages` different pages has no template. Columns with other names are ignored; an empty table gives no rows. A page is one value, parsed in a task;
+    its length and the depth of its elements are not limited.
     """
     short_batches(df.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("_h"), F.col(page).alias("_p"))
 
-    @F.arrow_udf("array<struct<hash:long,parent:long>>")
-    def hashes(pages: pa.Array) -> pa.Array:
-        found = [[{"hash": h, "parent": p} for h, p in subtrees(x)] for x in pages.to_pylist()]
-        return pa.array(found, pa.list_(pa.struct([("hash", pa.int64()), ("parent", pa.int64())])))
+    @F.arrow_udf("array<long>")
+    def hashes(column: pa.Array) -> pa.Array:
+        return pa.array([subtrees(x) for x in column.to_pylist()], pa.list_(pa.int64()))
 
     @F.arrow_udf("string")
-    def text(pages: pa.Array, drop: pa.Array) -> pa.Array:
-        return pa.array([extract(p, d or ()) for p, d in zip(pages.to_pylist(), drop.to_pylist(), strict=True)], pa.string())
+    def text(column: pa.Array, drop: pa.Array) -> pa.Array:
+        found = []
+        for p, d in zip(column.to_pylist(), drop.to_pylist(), strict=True):
+            found.append(extract(p, [x["hash"] for x in d or () if x["all"]], [x["hash"] for x in d or () if not x["all"]]))
+        return pa.array(found, pa.string())
 
     key = F.xxhash64("_p")
     # Both are written down: pages are parsed once for the hashes, and the join below has a plain exchange on either
     # side, so a hot host's template can be split.
-    subs = saved(rows.select("_h", key.alias("_k"), hashes(F.col("_p")).alias("s")).select("_h", "_k", F.inline("s")))
-    shared = subs.groupBy("_h", "hash", "parent").agg(F.count("*").alias("n")).groupBy("_h", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= contexts).select("_h", "hash")
-    shared = saved(shared)
+    subs = saved(rows.select("_h", key.alias("_k"), hashes(F.col("_p")).alias("s")).select("_h", "_k", F.explode_outer("s").alias("hash")))
+    # Pages of a host that hold a subtree, equal pages once; counted in two steps, so a subtree of a hot host is counted
+    # where it is read first.
+    counted = subs.where("hash IS NOT NULL").distinct().groupBy("_h", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
+    total = subs.select("_h", "_k").distinct().groupBy("_h").agg(F.count("*").alias("total"))
+    shared = counted.join(sized(saved(total)), "_h").where((F.col("n") >= F.sqrt("total")) | (F.col("n") >= most * F.col("total")))
+    shared = saved(shared.select("_h", "hash", (F.col("n") >= most * F.col("total")).alias("all")))
     # A page's own template subtrees: never more than it has elements.
-    drop = subs.join(shared, ["_h", "hash"]).groupBy("_h", "_k").agg(F.collect_set("hash").alias("_d"))
+    drop = subs.join(shared, ["_h", "hash"]).groupBy("_h", "_k").agg(F.collect_set(F.struct("hash", "all")).alias("_d"))
     return rows.withColumn("_k", key).join(drop, ["_h", "_k"], "left").select("page_id", "url", text(F.col("_p"), F.col("_d")).alias("text"))
