@@ -108,11 +108,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    # Held-out documents are neither labelled nor in the pool.
-    model = cotrain.fit(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
-    found = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), cotrain.score(model, F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars")).alias("s"))
+    aside = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    seen = saved(docs.select("doc_id", aside.alias("held_out"), cotrain.features(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars")).alias("features")))
+    # Held-out documents are neither labelled nor pseudo-labelled.
+    model = cotrain.fit(seen.where("NOT held_out"), labels.where(~held_out(F.col("doc_id"))))
+    found = seen.select("doc_id", "held_out", cotrain.score(model, F.col("features")).alias("s"))
     return found.select("doc_id", "held_out", "s.text_score", "s.meta_score", "s.score", (F.col("s.score") >= 0.5).alias("kept"))
 
 
