@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import let, sized, words
 
-#: SMOOTHING is the weight of the raw multinomial in the target, in counts a bucket: scarce buckets have ratios near 0.
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 4.0, -0.12
+#: Both priors are shares of the target's own counts, so ratios and the threshold mean the same however large the corpus
+#: is: SMOOTHING of them spread as in the raw text, RARE of them spread evenly, for which scarce buckets have ratios near 0.
+BUCKETS, SMOOTHING, RARE, THRESHOLD = 1 << 16, 0.1, 1.0, -0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -61,7 +62,8 @@ def buckets(hashes: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[float]:
-    """log p(bucket | trusted) - log p(bucket | raw) for each bucket, the former smoothed by the latter. `trusted` lists ids in `doc_id`.
+    """log p(bucket | trusted) - log p(bucket | raw) for each bucket, both smoothed. `trusted`
+    lists ids in `doc_id`. A corpus and its multiples have the same ratios.
 
     Without trusted documents all ratios are 0."""
     ids = trusted.select(F.col(doc_id).alias("_i")).where("_i IS NOT NULL").distinct()
@@ -72,8 +74,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
     raw, target = (sum(c[k] for c in counts.values()) for k in (0, 1))
     if not target:
         return [0.0] * BUCKETS
-    prior = SMOOTHING * BUCKETS
-    ratio = lambda n, t: math.log((t * raw / n + prior) / (target + prior)) if n else 0.0
+    # Of a bucket: its counts if trusted text were like the raw text, and the prior of either side.
+    even, prior = (lambda n: target * n / raw), RARE * target / BUCKETS
+    ratio = lambda n, t: math.log((t + SMOOTHING * even(n) + prior) / ((1 + SMOOTHING) * even(n) + prior)) if n else 0.0
     return [ratio(*counts.get(b, (0, 0))) for b in range(BUCKETS)]
 
 

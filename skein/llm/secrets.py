@@ -104,18 +104,20 @@ class MarkovModels:
         return float(self.ratio[codes[:-1], codes[1:]].mean())
 
 
-def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What sorted `spans` leave of start to end."""
-    parts = []
-    for s, e in spans:
-        if e > start and s < end:
-            parts.append((start, s))
-            start = max(start, e)
-    return [(s, e) for s, e in [*parts, (start, end)] if e - s >= LONG]
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def scan(text: str, models: MarkovModels) -> list[tuple[str, int, int]]:
-    """All spans (kind, start, end) of a text in code points, by start, then kind as in KINDS."""
+    """All spans (kind, start, end) of a text in code points, by start, then kind as in KINDS. Patterns and tokens are
+    walked side by side, so the time is linear in the text (but for sorting the spans)."""
     found = []
     low = text.lower()
     if any(w in low for w in _WORDS):
@@ -123,12 +125,21 @@ def scan(text: str, models: MarkovModels) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    base = sorted((s, e) for _, s, e in found)
+    base = _merged([(s, e) for _, s, e in found])
+    at = 0
     for m in _TOKEN.finditer(text):
-        for start, end in _outside(*m.span(), base) if base else [m.span()]:
-            t = text[start:end]
-            if models.score(t) > (models.threshold if _DIGIT.search(t) and _LETTER.search(t) else models.strict):
-                found.append(("random", start, end))
+        start, last = m.span()
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        k = at
+        while start < last:
+            end = min(base[k][0], last) if k < len(base) else last
+            if end - start >= LONG:
+                t = text[start:end]
+                if models.score(t) > (models.threshold if _DIGIT.search(t) and _LETTER.search(t) else models.strict):
+                    found.append(("random", start, end))
+            start = max(start, base[k][1]) if k < len(base) else last
+            k += 1
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -136,7 +147,8 @@ def find_secrets(text: Column, models: MarkovModels | None = None) -> Column:
     """The secrets of a text: array of (kind, start, end) in code points, end exclusive, by start, then kind.
 
     The kinds assign, access and hex are fixed patterns; `random` is what the Markov models add outside them. Null
-    and empty texts have none.
+    and empty texts have none; equal texts have equal spans. Spans that start together come in the order of KINDS.
+    Whole texts are scanned, in time linear in their length.
     """
     models = models or MarkovModels(samples())
 
@@ -149,7 +161,8 @@ def find_secrets(text: Column, models: MarkovModels | None = None) -> Column:
 
 
 def redact(text: Column, models: MarkovModels | None = None, mark: str = "[SECRET]") -> Column:
-    """The text with every secret, overlapping ones as one, replaced by `mark`. Null stays null."""
+    """The text with every secret, overlapping ones as one, replaced by `mark`. Null stays null, an empty text empty;
+    rows that repeat a text get the same one, and a text of any length is redacted whole."""
     models = models or MarkovModels(samples())
 
     @F.arrow_udf("string")

@@ -19,15 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import give_back, short_batches
+from skein.llm.common import give_back, short_batches, usable_labels
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5, 6)
 _CHUNK = 4096
-#: Bounds of the training sample: documents of each label, and words in one of them.
-SAMPLE, SAMPLE_WORDS = 1500, 3000
+#: Bounds of the training sample: documents of each label, and characters of one of them.
+SAMPLE, SAMPLE_CHARS = 1500, 24_000
 
 
 def tokenize(texts: Iterable[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -275,24 +275,29 @@ def platt(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 60) -> tuple
     return float(max(t[0], 1e-3)), float(t[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, longest: int = SAMPLE_WORDS) -> tuple[list[str | None], np.ndarray, float]:
-    """(texts, labels, share of label 1 among all usable labels). The sample is the `sample` rows of each label with
-    the smallest hash of doc_id, of those of at most `longest` words; rows with null doc_id or label are unusable."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, longest: int = SAMPLE_CHARS) -> tuple[list[str | None], np.ndarray, float]:
+    """(texts, labels, share of label 1 among all usable labels). The sample is the `sample` labelled rows of each label
+    with the smallest hash of doc_id, of those of at most `longest` characters (null texts count as empty); longer texts
+    are scored like any other.
+
+    Unusable: null ids, labels other than 0 and 1, and ids that have both labels. Rows that repeat a label count once;
+    rows that repeat an id with other texts are all used."""
     short_batches(docs.sparkSession)
-    known = labels.select(F.col(doc_id).alias("_d"), F.col(label).cast("int").alias("_y")).where("_d IS NOT NULL AND _y IN (0, 1)").dropDuplicates(["_d"])
+    known = usable_labels(labels, label, doc_id)
     share = known.agg(F.avg("_y")).first()[0] or 0.0
     picks = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d").limit(2 * sample) for y in (0, 1)]
     picks = picks[0].unionByName(picks[1])
     # At most 4 * sample short rows: a proven bound, so the documents are not shuffled.
-    texts = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") < longest * 8)
+    texts = docs.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where(F.length("_t") <= longest)
     got = texts.join(F.broadcast(picks), "_d").select("_d", "_y", "_t")
     got = [got.where(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d", F.xxhash64("_t")).limit(sample).collect() for y in (0, 1)]
-    rows = sorted((r for part in got for r in part), key=lambda r: (zlib.crc32(str(r["_d"]).encode()), str(r["_d"]), r["_t"] or ""))
+    rows = sorted((r for part in got for r in part), key=lambda r: (zlib.crc32(str(r["_d"]).encode()), str(r["_d"]), r["_t"]))
     return [r["_t"] for r in rows], np.array([r["_y"] for r in rows]), share
 
 
 def score(text: Column, net: Network) -> Column:
-    """The toxicity of a text, 0 to 1. Null counts as empty; an empty text has the score of an empty window."""
+    """The toxicity of a text, 0 to 1. Null counts as empty; an empty text has the score of an empty window. Equal texts
+    have equal scores; of a text of any length all windows are scored, a bounded number at a time."""
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
