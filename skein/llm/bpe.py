@@ -1,17 +1,20 @@
 """Byte-level BPE through a table of distinct words.
 
 Spark splits every text into pre-tokens ("words"). The distinct words of the corpus are one table, in which each is
-encoded once by the library and its ids are decoded through a join with the id-to-piece table. Texts are dealt into
-buckets of bounded size; a bucket's distinct words take their ids from the table by a join, and meet the bucket's texts
-in a cogroup, where ids (and decoded pieces) are joined back by position. What is shuffled is each text once and the
-distinct words of each bucket; frequent words and copies of a text cost one row a bucket.
+encoded once by the library and its ids are decoded through a join with the id-to-piece table. Texts stay where they are
+read: rows make up buckets of bounded size, and the part of the table that a bucket needs is written to a folder of its
+own, which the task that holds the bucket's texts joins back by position. What is shuffled are the distinct words of
+each bucket, out and back.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import forget, free_name, give_back, saved, short_batches, sized
+from skein.llm.common import checkpoint_dir, free_name, give_back, short_batches
 
 _WS = r"\p{IsWhite_Space}"
 #: The pre-tokens of byte-level BPE, in Java's dialect.
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!\P{{IsWhite_Space}})|{_WS}+"
 #: Characters that Java's Unicode tables don't know; the library's may, so a text with one is split by the library.
 UNKNOWN = r"\p{Cn}"
-#: Characters of a bucket's texts together, about.
-BUCKET = 4 << 20
+#: Bytes of a bucket's texts together, about.
+BUCKET = 16 << 20
 
 
 def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
@@ -47,7 +50,9 @@ def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
     return pieces, list(special.values())
 
 
+@lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """The library's tokenizer, read once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -79,41 +84,105 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())}))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """`(word, ids)` of a table of distinct words: the library encodes each by itself."""
+def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, how many) of each word."""
+    found = [e.ids for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum())), lens
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        for b in batches:
-            ids = [e.ids for e in tokenizer.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+def encode_words(words: Column, path: str) -> Column:
+    """(ids, packed) of a word by itself, by the library: array<int>, and the same as 32-bit numbers end to end."""
 
+    @F.arrow_udf("struct<ids:array<int>,packed:binary>")
+    def of(column: pa.Array) -> pa.Array:
+        ids, lens = word_ids(column.to_pylist(), path)
+        ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<i4"))])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), packed], ["ids", "packed"])
 
-def decode_words(encoded: DataFrame, path: str) -> DataFrame:
-    """`encoded` (word, ids) and `piece`, the bytes that the ids stand for: each id is looked up in the id-to-piece
-    table by a join (of a proven size: one row an id of the tokenizer)."""
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces(encoded.sparkSession, path)), "id")
-    back = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
-    return encoded.join(back.select("word", joined.alias("piece")), "word", "left")
+    return of(words)
 
 
 def _buckets(df: DataFrame, text: str) -> Column:
-    """The bucket of a row. A partition's rows go to a few buckets of their own, so that a bucket's distinct words are
-    found where they are read; how many follows from the characters of all texts. Rows are dealt by their place, so
-    copies of a row are dealt out too."""
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    each = total // BUCKET // max(df.rdd.getNumPartitions(), 1) + 1
-    return F.xxhash64(F.spark_partition_id(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(each)))
-
+    """The bucket of a row: its partition, and within it so many rows after each other that a bucket's texts take about
+    BUCKET bytes on average."""
+    total, rows = df.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    each = max(BUCKET * rows // max(total or 0, 1), 1)
+    place = F.monotonically_increasing_id()
+    at = place.bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return (place - at) + F.floor(at / F.lit(each)).cast("long")
+
+
+def _words_table(df: DataFrame, bucket: str, words: str, path: str) -> DataFrame:
+    """`(bucket, word, ids, piece)` of the distinct words of each bucket of `df`; ids as 32-bit numbers end to end, and
+    piece, what they decode to, null if that is the word."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, []
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(np.full(len(u := pc.unique(pa.concat_arrays(seen))), now), pa.int64()), u], ["bucket", "word"])
+        for b in batches:
+            at = np.asarray(b.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i:
+                    if at[i] != now:
+                        if seen:
+                            yield rows()
+                        now, seen = at[i], []
+                    seen.append(pc.unique(b.column(1).slice(i, j - i).flatten()))
+                    if len(seen) > 20:
+                        seen = [pc.unique(pa.concat_arrays(seen))]
+        if seen:
+            yield rows()
+        seen.clear()
+        give_back()
 
-def _gather(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in the values, lengths) of the lists `at` of a ragged array."""
-    starts, lens = offsets[:-1][at], np.diff(offsets)[at]
-    ends = np.cumsum(lens)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens), lens
+    found = df.select(bucket, words).mapInArrow(distinct, "bucket long, word string")
+    # A word's buckets are as many as there are buckets at most.
+    found = found.groupBy("word").agg(F.collect_list("bucket").alias("buckets"))
+    found = found.select("word", "buckets", encode_words(F.col("word"), path).alias("e"))
+    # Each id is looked up in the id-to-piece table, whose size is that of the tokenizer; rows stay where they are.
+    each = found.select("word", "buckets", "e.packed", F.posexplode("e.ids").alias("at", "id")).join(F.broadcast(pieces(df.sparkSession, path)), "id")
+    back = each.groupBy("word", "buckets", "packed").agg(F.sort_array(F.collect_list(F.struct("at", F.hex("piece").alias("hex")))).alias("p"))
+    hexed = F.array_join(F.transform("p", lambda x: x["hex"]), "")
+    piece = F.when(hexed != F.hex("word"), F.unhex(hexed))
+    return back.select(F.explode("buckets").alias("bucket"), "word", F.col("packed").alias("ids"), piece.alias("piece"))
+
+
+def _read(folder: str) -> pa.Table:
+    """The files of a folder of the table; none if there is no such folder."""
+    import pyarrow.dataset
+    import pyarrow.fs
+
+    fs, inner = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder.removeprefix("file:"))
+    if fs.get_file_info(inner).type == pyarrow.fs.FileType.NotFound:
+        return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary()), "piece": pa.array([], pa.binary())})
+    return pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet").to_table(["word", "ids", "piece"])
+
+
+class _Known:
+    """The words of one bucket, their ids and pieces, as ragged arrays."""
+
+    def __init__(self, folder: str) -> None:
+        found = _read(folder)
+        self.words = found.column("word").combine_chunks()
+        packed = found.column("ids").combine_chunks()
+        self.lens = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.ids = np.frombuffer(b"".join(packed.to_pylist()), "<i4").astype(np.int32)
+        self.pieces = pc.coalesce(found.column("piece").combine_chunks(), self.words.cast(pa.binary()))
+
+    def add(self, words: pa.Array, path: str) -> None:
+        found, more = word_ids(words.to_pylist(), path)
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(more) - more])
+        self.lens = np.concatenate([self.lens, more])
+        self.ids = np.concatenate([self.ids, found])
+        self.pieces = pa.concat_arrays([self.pieces, words.cast(pa.binary())])
+
+    def look_up(self, flat: pa.Array) -> pa.Array:
+        return pc.index_in(flat, value_set=self.words)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -125,6 +194,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     repeated ones too, and all other columns stay as they are; a column already named as `ids` is replaced. An empty
     table gives no rows. A text of any length is one value of one bucket. `path` is a tokenizer file that every executor
     can open.
+
+    A task finds its words in the shared folder. If rows come in other partitions than when words were listed, the words
+    that are missing there are encoded in the task, so the result is the same.
     """
     keep = [c for c in df.columns if c not in (ids, decoded)]
     new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
@@ -132,47 +204,50 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     short_batches(df.sparkSession)
     special = vocabulary(path)[1]
     bucket, words = (free_name(n, keep) for n in ("_bucket", "_words"))
-    dealt = df.select(*keep, _buckets(df, text).alias(bucket))
-    # Distinct words: of a text and a bucket first, then of the corpus.
-    seen = saved(dealt.select(F.col(bucket).alias("bucket"), F.explode(F.array_distinct(split(F.col(text), special))).alias("word")).distinct())
-    table = encode_words(seen.select("word").distinct(), path)
-    table = saved(decode_words(saved(table), path) if decoded else table)
-    known = seen.join(sized(table), "word")
-    split_up = dealt.withColumn(words, split(F.col(text), special))
-
-    def join(texts: pa.Table, known: pa.Table) -> pa.Table:
-        column = texts.column(words).combine_chunks()
-        flat = column.flatten()
-        at = pc.index_in(flat, value_set=known.column("word").combine_chunks()).cast(pa.int64())
-        tokenizer = None
-        lists, parts = known.column("ids").combine_chunks(), known.column("piece").combine_chunks() if decoded else None
-        if at.null_count:  # a row was dealt anew after its bucket's words were listed
-            tokenizer = _tokenizer(path)
-            lost = pc.unique(flat.filter(at.is_null()))
-            more = [e.ids for e in tokenizer.encode_batch(lost.to_pylist(), add_special_tokens=False)]
-            lists = pa.concat_arrays([lists, pa.array(more, lists.type)])
-            parts = pa.concat_arrays([parts, lost.cast(parts.type)]) if decoded else None
-            at = pc.index_in(flat, value_set=pa.concat_arrays([known.column("word").combine_chunks(), lost])).cast(pa.int64())
-        at = at.to_numpy(zero_copy_only=False)
-        ends = np.asarray(column.offsets).astype(np.int64) - column.offsets[0].as_py()
-        where, lens = _gather(np.asarray(lists.offsets).astype(np.int64), at)
-        values = np.asarray(lists.values)[where]
-        upto = np.concatenate([[0], np.cumsum(lens)])[ends]
-        out = [pa.LargeListArray.from_arrays(pa.array(upto), pa.array(values)).cast(pa.list_(pa.int32()))]
-        if decoded:
-            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts.take(pa.array(at))), b"")
-            try:
-                out.append(whole.cast(pa.string()))
-            except pa.ArrowInvalid:
-                out.append(pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string()))
-        found = pa.table([*(texts.column(c) for c in keep), *out], names=schema.names)
-        del texts, known
+    cut = df.select(*keep, _buckets(df, text).alias(bucket), split(F.col(text), special).alias(words))
+    folder = f"{checkpoint_dir(df.sparkSession)}/words-{uuid.uuid4().hex}"
+    table = _words_table(cut, bucket, words, path)
+    table.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, None
+        for batch in batches:
+            at = np.asarray(batch.column(bucket))
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j == i:
+                    continue
+                if at[i] != now:
+                    now, known = at[i], _Known(f"{folder}/bucket={at[i]}")
+                b = batch.slice(i, j - i)
+                column = b.column(words)
+                flat = column.flatten()
+                which = known.look_up(flat)
+                if which.null_count:
+                    known.add(pc.unique(flat.filter(pc.is_null(which))), path)
+                    which = known.look_up(flat)
+                which = which.to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.asarray(column.offsets).astype(np.int64) - column.offsets[0].as_py()
+                lens = known.lens[which]
+                upto = np.concatenate([[0], np.cumsum(lens)])
+                values = known.ids[np.arange(upto[-1]) + np.repeat(known.starts[which] - upto[:-1], lens)]
+                out = [pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(values))]
+                if decoded:
+                    out.append(_text(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), known.pieces.take(pa.array(which)))))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], schema.names)
+        known = None
         give_back()
-        return found
 
-    if decoded:
-        known = known.select("bucket", "word", "ids", "piece")
-    return split_up.groupBy(bucket).cogroup(known.groupBy("bucket")).applyInArrow(join, schema)
+    return cut.mapInArrow(run, schema)
+
+
+def _text(parts: pa.ListArray) -> pa.Array:
+    """Lists of bytes, joined and read as UTF-8."""
+    joined = pc.binary_join(parts, b"")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -189,11 +264,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     def text(lists: pa.ListArray) -> pa.Array:
         lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
-        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(lists.flatten())), b"")
-        try:
-            return joined.cast(pa.string())
-        except pa.ArrowInvalid:
-            return pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
+        return _text(pa.ListArray.from_arrays(offsets, table.take(lists.flatten())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

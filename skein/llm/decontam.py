@@ -105,10 +105,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     found = saved(found.select("doc_id", "m", "start", *name, "window"))
     each = saved(found.groupBy("m", "w1", "w2").agg(F.first("window").alias("window")).withColumn("print", simhash(F.col("window"))))
     prints = each.select("m", "print").distinct()
-    # The join of the multi-index: block values of windows and those near to an item's.
+    # The join of the multi-index: block values of windows and those near to an item's. Both grow, so it is shuffled.
     looked = prints.select("m", "print", F.explode(keys(F.col("print"), blocks)).alias("k")).select("m", "print", "k.*")
     listed = own.select("m", "item_print").distinct().select("m", "item_print", F.explode(near_keys(F.col("item_print"), radius, blocks)).alias("k")).select("m", "item_print", "k.*")
-    met = looked.join(listed, ["m", "block", "value"]).select("m", "print", "item_print", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming"))
+    met = looked.join(listed.hint("merge"), ["m", "block", "value"]).select("m", "print", "item_print", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming"))
     met = saved(met.where(F.col("hamming") <= radius).distinct())
     # Exact: the distinct windows of a fingerprint against the items of the fingerprints it met.
     pairs = each.join(met, ["m", "print"]).join(own.select("item_id", "item", "m", "item_print"), ["m", "item_print"])
