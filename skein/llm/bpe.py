@@ -1,10 +1,10 @@
 """Byte-level BPE through a table of distinct words.
 
 Spark splits every text into pre-tokens ("words"). The distinct words of the corpus are one table, in which each is
-encoded once by the library and its ids are decoded through a join with the id-to-piece table. Texts stay where they are
-read: rows make up buckets of bounded size, and the part of the table that a bucket needs is written to a folder of its
-own, which the task that holds the bucket's texts joins back by position. What is shuffled are the distinct words of
-each bucket, out and back.
+encoded once by the library; the distinct ids of texts are joined with the id-to-piece table for decoding. Texts stay
+where they are read: rows make up buckets of bounded size, and the parts of both tables that a bucket needs are written
+to folders of its own, which the task that holds the bucket's texts joins back by position. What is shuffled are the
+distinct words of each bucket, out and back.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}
 UNKNOWN = r"\p{Cn}"
 #: Bytes of a bucket's texts together, about.
 BUCKET = 16 << 20
+#: Rows that a task joins at a time.
+ROWS = 500
 
 
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
     """The bytes of each id of a tokenizer file, and its special strings."""
     with open(path, encoding="utf-8") as f:
@@ -91,15 +94,20 @@ def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum())), lens
 
 
+def _width(path: str) -> str:
+    """How ids are packed: as 16-bit numbers if they fit."""
+    return "<u2" if len(vocabulary(path)[0]) <= 1 << 16 else "<u4"
+
+
 def encode_words(words: Column, path: str) -> Column:
-    """(ids, packed) of a word by itself, by the library: array<int>, and the same as 32-bit numbers end to end."""
+    """The ids of a word by itself, by the library, packed end to end as `_width` says: binary."""
+    width = _width(path)
 
-    @F.arrow_udf("struct<ids:array<int>,packed:binary>")
+    @F.arrow_udf("binary")
     def of(column: pa.Array) -> pa.Array:
         ids, lens = word_ids(column.to_pylist(), path)
-        ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-        packed = pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<i4"))])
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), packed], ["ids", "packed"])
+        ends = (np.concatenate([[0], np.cumsum(lens)]) * int(width[-1])).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(width))])
 
     return of(words)
 
@@ -114,9 +122,9 @@ def _buckets(df: DataFrame, text: str) -> Column:
     return (place - at) + F.floor(at / F.lit(each)).cast("long")
 
 
-def _words_table(df: DataFrame, bucket: str, words: str, path: str) -> DataFrame:
-    """`(bucket, word, ids, piece)` of the distinct words of each bucket of `df`; ids as 32-bit numbers end to end, and
-    piece, what they decode to, null if that is the word."""
+def words_table(df: DataFrame, bucket: str, words: str, path: str) -> DataFrame:
+    """`(bucket, word, ids)` of the distinct words of each bucket of `df`; each distinct word is encoded once. ids are
+    packed."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, []
@@ -138,51 +146,75 @@ def _words_table(df: DataFrame, bucket: str, words: str, path: str) -> DataFrame
         seen.clear()
         give_back()
 
-    found = df.select(bucket, words).mapInArrow(distinct, "bucket long, word string")
+    found = df.select(bucket, words).mapInArrow(distinct, "bucket long, word string").repartition("word")
     # A word's buckets are as many as there are buckets at most.
-    found = found.groupBy("word").agg(F.collect_list("bucket").alias("buckets"))
-    found = found.select("word", "buckets", encode_words(F.col("word"), path).alias("e"))
-    # Each id is looked up in the id-to-piece table, whose size is that of the tokenizer; rows stay where they are.
-    each = found.select("word", "buckets", "e.packed", F.posexplode("e.ids").alias("at", "id")).join(F.broadcast(pieces(df.sparkSession, path)), "id")
-    back = each.groupBy("word", "buckets", "packed").agg(F.sort_array(F.collect_list(F.struct("at", F.hex("piece").alias("hex")))).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda x: x["hex"]), "")
-    piece = F.when(hexed != F.hex("word"), F.unhex(hexed))
-    return back.select(F.explode("buckets").alias("bucket"), "word", F.col("packed").alias("ids"), piece.alias("piece"))
-
-
-def _read(folder: str) -> pa.Table:
-    """The files of a folder of the table; none if there is no such folder."""
+    found = found.groupBy("word").agg(F.collect_list("bucket").alias("buckets")).withColumn("ids", encode_words(F.col("word"), path))
+    return found.select(F.explode("buckets").alias("bucket"), "word", "ids")
+
+
+def pieces_table(table: DataFrame, path: str) -> DataFrame:
+    """`(bucket, id, piece)` of the distinct ids of each bucket of a words table, by a join with the id-to-piece table,
+    which is as large as the tokenizer."""
+    width = _width(path)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lens = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False) // int(width[-1])
+            ids = np.frombuffer(b"".join(b.column(1).to_pylist()), width).astype(np.int64)
+            both = np.unique(np.stack([np.repeat(np.asarray(b.column(0)), lens), ids]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1].astype(np.int32))], ["bucket", "id"])
+
+    return table.select("bucket", "ids").mapInArrow(distinct, "bucket long, id int").distinct().join(F.broadcast(pieces(table.sparkSession, path)), "id").select("bucket", "id", "piece")
+
+
+def _read(folder: str, columns: dict[str, pa.DataType]) -> list[pa.Array]:
+    """Columns of a bucket's folder of a table; empty if there is no such folder."""
     import pyarrow.dataset
     import pyarrow.fs
 
     fs, inner = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder.removeprefix("file:"))
     if fs.get_file_info(inner).type == pyarrow.fs.FileType.NotFound:
-        return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary()), "piece": pa.array([], pa.binary())})
-    return pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet").to_table(["word", "ids", "piece"])
+        return [pa.array([], t) for t in columns.values()]
+    found = pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet").to_table(list(columns))
+    return [found.column(c).combine_chunks().cast(t) for c, t in columns.items()]
 
 
 class _Known:
-    """The words of one bucket, their ids and pieces, as ragged arrays."""
+    """What one bucket needs: its words and their ids, as ragged arrays; its ids and their pieces."""
 
-    def __init__(self, folder: str) -> None:
-        found = _read(folder)
-        self.words = found.column("word").combine_chunks()
-        packed = found.column("ids").combine_chunks()
-        self.lens = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    def __init__(self, folder: str, bucket: int, path: str, decoded: bool) -> None:
+        width, self.path = _width(path), path
+        self.words, packed = _read(f"{folder}/words/bucket={bucket}", {"word": pa.string(), "ids": pa.binary()})
+        self.lens = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // int(width[-1])
         self.starts = np.cumsum(self.lens) - self.lens
-        self.ids = np.frombuffer(b"".join(packed.to_pylist()), "<i4").astype(np.int32)
-        self.pieces = pc.coalesce(found.column("piece").combine_chunks(), self.words.cast(pa.binary()))
-
-    def add(self, words: pa.Array, path: str) -> None:
-        found, more = word_ids(words.to_pylist(), path)
-        self.words = pa.concat_arrays([self.words, words])
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(more) - more])
-        self.lens = np.concatenate([self.lens, more])
-        self.ids = np.concatenate([self.ids, found])
-        self.pieces = pa.concat_arrays([self.pieces, words.cast(pa.binary())])
-
-    def look_up(self, flat: pa.Array) -> pa.Array:
-        return pc.index_in(flat, value_set=self.words)
+        self.ids = np.frombuffer(b"".join(packed.to_pylist()), width).astype(np.int32)
+        if decoded:
+            ids, self.pieces = _read(f"{folder}/pieces/bucket={bucket}", {"id": pa.int32(), "piece": pa.binary()})
+            self.place = np.full(len(vocabulary(path)[0]), -1, np.int64)
+            self.place[np.asarray(ids)] = np.arange(len(ids))
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """The place of each word; words that are not there are encoded and added."""
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            lost = pc.unique(words.filter(pc.is_null(found)))
+            ids, lens = word_ids(lost.to_pylist(), self.path)
+            self.words = pa.concat_arrays([self.words, lost])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+            self.lens, self.ids = np.concatenate([self.lens, lens]), np.concatenate([self.ids, ids])
+            found = pc.index_in(words, value_set=self.words)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids, cut at `ends`."""
+        at = self.place[ids]
+        if (at < 0).any():
+            lost = np.unique(ids[at < 0])
+            self.place[lost] = len(self.pieces) + np.arange(len(lost))
+            table = vocabulary(self.path)[0]
+            self.pieces = pa.concat_arrays([self.pieces, pa.array([table[i] for i in lost], pa.binary())])
+            at = self.place[ids]
+        return _text(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), self.pieces.take(pa.array(at))))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -195,8 +227,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     table gives no rows. A text of any length is one value of one bucket. `path` is a tokenizer file that every executor
     can open.
 
-    A task finds its words in the shared folder. If rows come in other partitions than when words were listed, the words
-    that are missing there are encoded in the task, so the result is the same.
+    A task finds its words and pieces in the shared folder. If rows come in other partitions than when words were listed,
+    the words that are missing there are encoded in the task, so the result is the same.
     """
     keep = [c for c in df.columns if c not in (ids, decoded)]
     new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
@@ -205,36 +237,36 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     special = vocabulary(path)[1]
     bucket, words = (free_name(n, keep) for n in ("_bucket", "_words"))
     cut = df.select(*keep, _buckets(df, text).alias(bucket), split(F.col(text), special).alias(words))
-    folder = f"{checkpoint_dir(df.sparkSession)}/words-{uuid.uuid4().hex}"
-    table = _words_table(cut, bucket, words, path)
-    table.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
+    folder = f"{checkpoint_dir(df.sparkSession)}/bpe-{uuid.uuid4().hex}"
+
+    def write(table: DataFrame, name: str) -> None:
+        table.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/{name}")
+
+    write(words_table(cut, bucket, words, path), "words")
+    if decoded:
+        write(pieces_table(df.sparkSession.read.schema("word string, ids binary, bucket long").parquet(f"{folder}/words"), path), "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, None
-        for batch in batches:
-            at = np.asarray(batch.column(bucket))
-            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if j == i:
-                    continue
-                if at[i] != now:
-                    now, known = at[i], _Known(f"{folder}/bucket={at[i]}")
-                b = batch.slice(i, j - i)
-                column = b.column(words)
-                flat = column.flatten()
-                which = known.look_up(flat)
-                if which.null_count:
-                    known.add(pc.unique(flat.filter(pc.is_null(which))), path)
-                    which = known.look_up(flat)
-                which = which.to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = np.asarray(column.offsets).astype(np.int64) - column.offsets[0].as_py()
-                lens = known.lens[which]
-                upto = np.concatenate([[0], np.cumsum(lens)])
-                values = known.ids[np.arange(upto[-1]) + np.repeat(known.starts[which] - upto[:-1], lens)]
-                out = [pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(values))]
-                if decoded:
-                    out.append(_text(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), known.pieces.take(pa.array(which)))))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], schema.names)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                at = np.asarray(batch.column(bucket))
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if at[i] != now:
+                        now, known = at[i], _Known(folder, int(at[i]), path, bool(decoded))
+                    b = batch.slice(i, j - i)
+                    column = b.column(words)
+                    which = known.look_up(column.flatten())
+                    lens = known.lens[which]
+                    upto = np.concatenate([[0], np.cumsum(lens)])
+                    values = known.ids[np.arange(upto[-1]) + np.repeat(known.starts[which] - upto[:-1], lens)]
+                    ends = upto[np.asarray(column.offsets).astype(np.int64) - column.offsets[0].as_py()]
+                    out = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))]
+                    if decoded:
+                        out.append(known.decode(values, ends))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], schema.names)
         known = None
         give_back()
 
