@@ -32,6 +32,7 @@ PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}
 UNKNOWN = r"\p{Cn}"
 #: Bytes of a bucket's texts together, about.
 BUCKET = 16 << 20
+TABLE = "bucket long, words binary, sizes binary, ids binary, counts binary"
 #: Rows that a task joins at a time.
 ROWS = 500
 
@@ -99,19 +100,6 @@ def _width(path: str) -> str:
     return "<u2" if len(vocabulary(path)[0]) <= 1 << 16 else "<u4"
 
 
-def encode_words(words: Column, path: str) -> Column:
-    """The ids of a word by itself, by the library, packed end to end as `_width` says: binary."""
-    width = _width(path)
-
-    @F.arrow_udf("binary")
-    def of(column: pa.Array) -> pa.Array:
-        ids, lens = word_ids(column.to_pylist(), path)
-        ends = (np.concatenate([[0], np.cumsum(lens)]) * int(width[-1])).astype(np.int32)
-        return pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(width))])
-
-    return of(words)
-
-
 def _buckets(df: DataFrame, text: str) -> Column:
     """The bucket of a row: its partition, and within it so many rows after each other that a bucket's texts take about
     BUCKET bytes on average."""
@@ -123,8 +111,10 @@ def _buckets(df: DataFrame, text: str) -> Column:
 
 
 def words_table(df: DataFrame, bucket: str, words: str, path: str) -> DataFrame:
-    """`(bucket, word, ids)` of the distinct words of each bucket of `df`; each distinct word is encoded once. ids are
-    packed."""
+    """The distinct words of each bucket of `df` with their ids; each distinct word is encoded once. A row has some
+    words of a bucket end to end, `(bucket, words, sizes, ids, counts)`: their bytes, the bytes of each, their ids
+    (packed as `_width` says), the ids of each."""
+    width = _width(path)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, []
@@ -148,8 +138,37 @@ def words_table(df: DataFrame, bucket: str, words: str, path: str) -> DataFrame:
 
     found = df.select(bucket, words).mapInArrow(distinct, "bucket long, word string").repartition("word")
     # A word's buckets are as many as there are buckets at most.
-    found = found.groupBy("word").agg(F.collect_list("bucket").alias("buckets")).withColumn("ids", encode_words(F.col("word"), path))
-    return found.select(F.explode("buckets").alias("bucket"), "word", "ids")
+    found = found.groupBy("word").agg(F.collect_list("bucket").alias("buckets"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def rows() -> pa.RecordBatch:
+            of, whole = pa.concat_arrays([b.column(1) for b in parts]), pa.concat_arrays([b.column(0) for b in parts])
+            ids, lens = word_ids(whole.to_pylist(), path)
+            start, size = np.cumsum(lens) - lens, pc.binary_length(whole).to_numpy(zero_copy_only=False)
+            to, word = np.asarray(of.flatten()), np.repeat(np.arange(len(whole)), pc.list_value_length(of).to_numpy(zero_copy_only=False))
+            order = np.argsort(to, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(to[order], prepend=to[order][:1] - 1)), len(order))
+            out: list[tuple] = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = word[order[i:j]]
+                n = lens[mine]
+                at = np.arange(n.sum()) + np.repeat(start[mine] - (np.cumsum(n) - n), n)
+                out.append((int(to[order[i]]), b"".join(whole.take(pa.array(mine)).cast(pa.binary()).to_pylist()), size[mine].astype("<u4").tobytes(), ids[at].astype(width).tobytes(), n.astype("<u4").tobytes()))
+            parts.clear()
+            kinds = [pa.int64()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "words", "sizes", "ids", "counts"])
+
+        for b in batches:
+            parts.append(b)
+            if sum(x.num_rows for x in parts) >= 30_000:
+                yield rows()
+        if any(x.num_rows for x in parts):
+            yield rows()
+        give_back()
+
+    return found.mapInArrow(encoded, TABLE)
 
 
 def pieces_table(table: DataFrame, path: str) -> DataFrame:
@@ -161,8 +180,9 @@ def pieces_table(table: DataFrame, path: str) -> DataFrame:
         for b in batches:
             lens = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False) // int(width[-1])
             ids = np.frombuffer(b"".join(b.column(1).to_pylist()), width).astype(np.int64)
-            both = np.unique(np.stack([np.repeat(np.asarray(b.column(0)), lens), ids]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1].astype(np.int32))], ["bucket", "id"])
+            buckets, at = np.unique(np.asarray(b.column(0)), return_inverse=True)
+            both = np.unique((np.repeat(at, lens) << 32) + ids)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[both >> 32]), pa.array((both & 0xFFFFFFFF).astype(np.int32))], ["bucket", "id"])
 
     return table.select("bucket", "ids").mapInArrow(distinct, "bucket long, id int").distinct().join(F.broadcast(pieces(table.sparkSession, path)), "id").select("bucket", "id", "piece")
 
@@ -183,11 +203,14 @@ class _Known:
     """What one bucket needs: its words and their ids, as ragged arrays; its ids and their pieces."""
 
     def __init__(self, folder: str, bucket: int, path: str, decoded: bool) -> None:
-        width, self.path = _width(path), path
-        self.words, packed = _read(f"{folder}/words/bucket={bucket}", {"word": pa.string(), "ids": pa.binary()})
-        self.lens = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // int(width[-1])
+        self.path = path
+        columns = _read(f"{folder}/words/bucket={bucket}", dict.fromkeys(("words", "sizes", "ids", "counts"), pa.binary()))
+        data, sizes, ids, counts = (b"".join(c.to_pylist()) for c in columns)
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))]).astype(np.int32)
+        self.words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+        self.lens = np.frombuffer(counts, "<u4").astype(np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.ids = np.frombuffer(b"".join(packed.to_pylist()), width).astype(np.int32)
+        self.ids = np.frombuffer(ids, _width(path)).astype(np.int32)
         if decoded:
             ids, self.pieces = _read(f"{folder}/pieces/bucket={bucket}", {"id": pa.int32(), "piece": pa.binary()})
             self.place = np.full(len(vocabulary(path)[0]), -1, np.int64)
@@ -244,7 +267,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     write(words_table(cut, bucket, words, path), "words")
     if decoded:
-        write(pieces_table(df.sparkSession.read.schema("word string, ids binary, bucket long").parquet(f"{folder}/words"), path), "pieces")
+        write(pieces_table(df.sparkSession.read.schema(TABLE).parquet(f"{folder}/words"), path), "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, None
