@@ -277,6 +277,8 @@ class Collection:
                     if clash is not None:
                         raise ConflictError(f"document {clash['id']!r} was written since the transaction began")
                 self.commits.append(head["number"], seq=seq, folder=folder, rows=count, **tags)
+                if self.config.storage.auto_compact:
+                    self.maybe_compact()
                 return count
             except ConflictError:
                 self.files.delete(folder)
@@ -303,7 +305,11 @@ class Collection:
         return True
 
     def maybe_compact(self) -> bool:
-        return len(self.commits.records()) >= self.config.storage.compaction_trigger and self.compact()
+        """Merges once there are as many commits as the trigger says; another writer's commit in between lets it be."""
+        try:
+            return len(self.commits.records()) >= self.config.storage.compaction_trigger and self.compact()
+        except ConflictError:
+            return False
 
     def vacuum(self) -> int:
         """Removes the versions that no open snapshot and no current read can see; how many."""
@@ -321,7 +327,7 @@ class Collection:
         centroids = ivf.train_cells(docs, c.ivf, c.metric)
         if not len(centroids):
             return 0
-        rows = docs.withColumn("cell", ivf.assign(F.col("vector"), centroids, c.metric))
+        rows = docs.withColumn("cell", F.explode(ivf.assign_all(F.col("vector"), centroids, c.metric, c.ivf.copies)))
         book = None
         if c.index == "ivf_pq":
             book = pq.train_codebook(docs, c.pq, c.metric)
@@ -331,8 +337,8 @@ class Collection:
         self.files.delete(folder)
         # A cell may hold a large share of the rows, so it is spread over several files.
         rows.repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(self.files.at(folder))
-        count = self.spark.read.parquet(self.files.at(folder)).count()
-        record = {"seq": seq, "folder": folder, "rows": count, "centroids": centroids.tolist(), "codebook": None if book is None else book.tolist()}
+        count = self.spark.read.parquet(self.files.at(folder)).select("id").distinct().count()
+        record = {"seq": seq, "folder": folder, "rows": count, "copies": c.ivf.copies, "centroids": centroids.tolist(), "codebook": None if book is None else book.tolist()}
         self.files.delete(f"_index/{seq:020d}.json")
         self.files.create(f"_index/{seq:020d}.json", json.dumps(record))
         return count
@@ -402,9 +408,9 @@ class Collection:
 
         def look(asked: DataFrame, cells: int) -> DataFrame:
             if index["codebook"] is None:
-                near = ivf.probe(inside, asked, centroids, k, cells, metric)
+                near = ivf.probe(inside, asked, centroids, k, cells, metric, copies=index.get("copies", 1))
             else:
-                near = self._coded(inside, asked, centroids, np.array(index["codebook"]), k, cells)
+                near = self._coded(inside, asked, centroids, np.array(index["codebook"]), k, cells, index.get("copies", 1))
             both = near.unionByName(exact_knn(fresh, asked, k, metric))
             return best(both.drop("rank"), k, [F.col("distance"), F.col("id")])
 
@@ -417,15 +423,16 @@ class Collection:
                 found = found.join(again, "qid", "left_anti").unionByName(look(short, len(centroids)).select(*found.columns))
         return found.select(*cut)
 
-    def _coded(self, inside: DataFrame, asked: DataFrame, centroids: np.ndarray, book: np.ndarray, k: int, cells: int) -> DataFrame:
+    def _coded(self, inside: DataFrame, asked: DataFrame, centroids: np.ndarray, book: np.ndarray, k: int, cells: int, copies: int) -> DataFrame:
         """Probed rows by their codes, then the best of them again by full (or decoded) vectors."""
         metric = self.config.metric
         # Candidates from the cells, by what the codes stand for; full vectors are read for these only.
         stood = inside.withColumn("_stood", pq.decode(F.col("codes"), book))
-        near = ivf.probe(stood, asked, centroids, k * self.config.pq.rerank_factor, cells, metric, vector="_stood")
-        if "vector" in inside.columns:
-            return pq.rerank(near, inside, asked, k, metric)
-        return pq.rerank(near, stood, asked, k, metric, vector="_stood")
+        near = ivf.probe(stood, asked, centroids, k * self.config.pq.rerank_factor, cells, metric, vector="_stood", copies=copies)
+        # Candidates are few; of the copies of each, one is ranked again.
+        full, vector = (inside, "vector") if "vector" in inside.columns else (stood, "_stood")
+        wanted = full.join(sized(near.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
+        return pq.rerank(near, wanted, asked, k, metric, vector=vector)
 
     def _lexical(self, docs: DataFrame, queries: DataFrame, plan: Plan, allow: Column, snapshot: Snapshot | int | None, stats: str) -> DataFrame:
         if stats == "visible":

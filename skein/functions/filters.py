@@ -27,6 +27,9 @@ class Value:
     present: Column
     is_null: Column
     number: Column
+    #: Whole numbers as they are stored: compared with whole numbers, these are exact and reach the scan.
+    whole: Column | None
+    only_whole: bool
     string: Column
     printed: Column
     json: Column
@@ -60,6 +63,8 @@ def variant_value(v: Column, depth: int = 0) -> Value:
         v.isNotNull(),
         F.is_variant_null(v),
         number,
+        F.when(kind == "BIGINT", as_type("bigint")),
+        False,
         string,
         printed,
         F.to_json(v),
@@ -95,7 +100,9 @@ def typed_value(v: Column, kind: T.DataType) -> Value:
     if isinstance(kind, T.StructType):
         keys = lambda k: F.lit(k in kind.names) & v.getField(k).isNotNull() if k in kind.names else F.lit(False)
     nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
-    return Value(v.isNotNull(), F.lit(False), number, string, none.cast("string") if nested else F.initcap(v.cast("string")) if boolean else v.cast("string"), F.to_json(v) if nested else none.cast("string"), elements, keys)
+    whole = isinstance(kind, T.IntegralType)
+    number = v if isinstance(kind, T.DoubleType) else number
+    return Value(v.isNotNull(), F.lit(False), number, v if whole else None, whole, string, none.cast("string") if nested else F.initcap(v.cast("string")) if boolean else v.cast("string"), F.to_json(v) if nested else none.cast("string"), elements, keys)
 
 
 class StructFields:
@@ -115,11 +122,27 @@ class StructFields:
         return typed_value(column, kind)
 
 
+def _as_whole(x: Any) -> int | None:
+    """The whole number that `x` is, if a long holds it."""
+    if isinstance(x, bool) or not isinstance(x, (int, float)) or (isinstance(x, float) and not x.is_integer()):
+        return None
+    return int(x) if -(1 << 63) <= x < 1 << 63 else None
+
+
+def _numeric(v: Value, x: Any, test: Callable[[Column, Any], Column]) -> Column:
+    """`test` of a number's value and `x`: as whole numbers where both are, else as doubles."""
+    n = _as_whole(x)
+    if v.whole is None or n is None:
+        return test(v.number, F.lit(float(x)))
+    exact = test(v.whole, F.lit(n))
+    return exact if v.only_whole else F.when(v.whole.isNotNull(), exact).otherwise(test(v.number, F.lit(float(x))))
+
+
 def _equal(v: Value, x: Any) -> Column:
     if x is None:
         return v.is_null
     if isinstance(x, (bool, int, float)):
-        return v.number == F.lit(float(x))
+        return _numeric(v, x, lambda a, b: a == b)
     if isinstance(x, str):
         return v.string == F.lit(x)
     if isinstance(x, (list, tuple, dict)):
@@ -127,15 +150,15 @@ def _equal(v: Value, x: Any) -> Column:
     return F.lit(False)
 
 
+#: The ordering operators.
+_ORDER: dict[str, Callable[[Column, Any], Column]] = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}
+
+
 def _compare(op: str) -> Callable[[Value, Any], Column]:
     def run(v: Value, x: Any) -> Column:
         if isinstance(x, (bool, int, float)):
-            side, other = v.number, F.lit(float(x))
-        elif isinstance(x, str):
-            side, other = v.string, F.lit(x)
-        else:
-            return F.lit(False)
-        return {"$gt": side > other, "$gte": side >= other, "$lt": side < other, "$lte": side <= other}[op]
+            return _numeric(v, x, _ORDER[op])
+        return _ORDER[op](v.string, F.lit(x)) if isinstance(x, str) else F.lit(False)
 
     return run
 
@@ -149,20 +172,23 @@ def _within(v: Value, x: Any) -> Column | None:
     if not isinstance(x, (list, tuple, set, frozenset)):
         return None
     x = list(x)
-    numbers = [float(y) for y in x if isinstance(y, (bool, int, float))]
+    whole = [n for y in x if (n := _as_whole(y)) is not None]
+    numbers = [y for y in x if isinstance(y, (bool, int, float))]
     strings = [y for y in x if isinstance(y, str)]
     if strings and len(strings) == len(x):
         return v.string.isin(*strings)
-    if numbers and len(numbers) == len(x):
-        return v.number.isin(*numbers)
+    if v.only_whole and whole and len(whole) == len(x):
+        return v.whole.isin(*whole)
     found = F.lit(False)
-    if numbers:
-        found = found | _sure(v.number.isin(*numbers))
+    for y in numbers:
+        found = found | _sure(_numeric(v, y, lambda a, b: a == b))
     if strings:
         found = found | _sure(v.string.isin(*strings))
     for y in x:
         if y is None or isinstance(y, (list, tuple, dict)):
             found = found | _sure(_equal(v, y))
+    if numbers and len(numbers) == len(x):
+        return F.when(v.number.isNotNull(), found)
     return found
 
 
