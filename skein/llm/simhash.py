@@ -114,13 +114,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return docs.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Min-hash bands and rows of one: two texts at the least similarity share a band with probability 0.99997.
-BANDS, BAND_ROWS = 20, 4
+#: Counters of shingles, by the first bits of their hashes.
+COUNTERS = 1 << 17
 #: Cells of a set's histogram, and the most that one counts.
 CELLS, FULL = 64, 127
 #: Near-dedup compares all pairs that are left at once if there are at most so many for each content.
 PAIRS_EACH = 4
-_MULTIPLIERS = (np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -130,19 +129,40 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
-def band_hashes(hashes: np.ndarray) -> np.ndarray:
-    """One hash per band of the min-hashes of a set; an empty set has the same ones everywhere."""
-    low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    mixed = hashes ^ (hashes >> np.uint64(32))
-    for i in range(0, len(mixed), 2048):
-        np.minimum(low, (mixed[i : i + 2048, None] * _MULTIPLIERS).min(axis=0), out=low)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        out = (out ^ low[k::BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(47)).astype(np.int64)  # COUNTERS = 2^17 of 64 bits
+
+
+def shingle_counts(texts: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """How many texts have a shingle of each counter, over all texts: as many numbers as there are counters."""
+
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                hit, n = np.unique(_counter(shingle_set(t, shingle)), return_counts=True)
+                counts[hit] += n
+        give_back()
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["c", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in texts.select(text).mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        out[r["c"]] = r["n"]
     return out
 
 
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a set, by their counters, then hash: so many that two sets of Jaccard similarity `least`
+    share one of them. Such sets have ceil(least * n) of a set's n shingles in common, so not all of those are beyond
+    the first n - ceil(least * n) + 1 in an order that both follow. An empty set has one that is its own."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    size = n - int(np.ceil(least * n - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, counts[_counter(hashes)]))[: min(size, n)]]
+
+
 def histogram(hashes: np.ndarray) -> np.ndarray:
     """How many of a set's hashes fall in each cell, FULL at most. The sum of two histograms' differences is at most
     the number of hashes that are in one of the sets only, however the hashes fall."""
@@ -162,21 +182,25 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     `min_similarity`.
 
     SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
-    candidates come from min-hash bands; pairs whose sizes or histograms rule the similarity out for certain are
-    dropped, and the rest is verified exactly. In a band's bucket each content is first compared with two heads only,
-    the most central one (whose buckets are the fullest) and the one with the smallest key, so a large group costs its
-    size. Then all pairs of a bucket that links don't connect yet are compared. While these are many, one more head a
-    bucket, another each turn, goes first: what it links need not be paired. No pair of a bucket is left out.
+    candidates come from an exact filter: sets that similar share one of the rarest fifth of their shingles (see
+    `prefix`). Contents that share a rare shingle are a bucket; passages that many documents share are not rare, so they
+    put no one into a bucket. Pairs whose sizes or histograms rule the similarity out for certain are dropped, and the
+    rest is verified exactly. In a bucket each content is first compared with two heads only, the most central one (whose
+    buckets are the fullest) and the one with the smallest key, so a large group costs its size. Then all pairs of a
+    bucket that links don't connect yet are compared. While these are many, one more head a bucket, another each turn,
+    goes first: what it links need not be paired. No pair of a bucket is left out, so no link is lost.
     """
     short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
 
+    counts = shingle_counts(df.select(body.alias("_t")), "_t", shingle)
+
     @F.arrow_udf("struct<bands:array<long>,cells:array<tinyint>,n:long>")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
-            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "cells": histogram(s).tolist(), "n": len(s)})
+            rows.append({"bands": prefix(s, counts, min_similarity).view(np.int64), "cells": histogram(s).tolist(), "n": len(s)})
         give_back()
         return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int8())), ("n", pa.int64())]))
 
