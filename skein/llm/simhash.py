@@ -185,8 +185,8 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     candidates come from an exact filter: sets that similar share one of the rarest fifth of their shingles (see
     `prefix`). Contents that share a rare shingle are a bucket; passages that many documents share are not rare, so they
     put no one into a bucket. Pairs whose sizes or histograms rule the similarity out for certain are dropped, and the
-    rest is verified exactly. In a bucket each content is first compared with two heads only, the most central one (whose
-    buckets are the fullest) and the one with the smallest key, so a large group costs its size. Then all pairs of a
+    rest is verified exactly. In a bucket each content is first compared with two heads only, those with the smallest key
+    and with its smallest hash, so a large group costs its size. Then all pairs of a
     bucket that links don't connect yet are compared. While these are many, one more head a bucket, another each turn,
     goes first: what it links need not be paired. No pair of a bucket is left out, so no link is lost.
     """
@@ -208,15 +208,14 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
-    rows = df.select(F.md5(body).alias("key"), sketch(body).alias("s")).select("key", "s.*")
+    rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s")).select("key", "s.*")
     each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.first("n").alias("n")))
     placed = each.select("key", F.explode("bands").alias("band"))
     # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
-    full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
     placed = saved(placed.join(full, "band"))
-    central = placed.groupBy("key").agg(F.sum("size").alias("weight"))
-    heads = placed.join(central, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("hub"), F.min("key").alias("low"))
-    heads = saved(heads.select("band", F.array("hub.key", "low").alias("heads")))
+    # A head that all buckets of a group choose alike, and another.
+    heads = saved(placed.groupBy("band").agg(F.array(F.min("key"), F.min_by("key", F.xxhash64("key"))).alias("heads")))
     pairs = placed.join(heads, "band").select("key", F.explode("heads").alias("head"))
     pairs = pairs.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
     near = may_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), min_similarity)
@@ -226,7 +225,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
         pairs = saved(pairs)
         # Shingles of one text per content that is in a pair.
         wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-        texts = df.select(F.md5(body).alias("key"), body.alias("_t")).join(sized(wanted), "key")
+        texts = df.select(F.unhex(F.md5(body)).alias("key"), body.alias("_t")).join(sized(wanted), "key")
         sets = saved(texts.select("key", hashes(F.col("_t")).alias("h")).groupBy("key").agg(F.first("h").alias("h")))
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
         both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
@@ -265,7 +264,7 @@ def distinct_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Null text counts as empty; texts without words form one group. Rows that repeat the document that stays, id and
     text, stay with it. Other columns are kept; an empty table gives no rows.
     """
-    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     roots = saved(similar_contents(df, text, shingle, min_similarity))
     ids = saved(df.select(F.col(doc_id).alias("_d"), key.alias("key")).groupBy("_d", "key").agg(F.count("*").alias("_n")))
     ids = ids.join(roots, "key", "left").select("_d", "key", F.coalesce("root", "key").alias("root"))
