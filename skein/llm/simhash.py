@@ -114,8 +114,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return docs.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Min-hash bands and rows of one: two texts at the least similarity share a band with probability 0.99997.
-BANDS, BAND_ROWS = 20, 4
+#: Min-hash bands and rows of one: two texts at the least similarity share a band with probability 0.99999.
+BANDS, BAND_ROWS = 64, 8
+#: The pairs of a band's bucket are made in blocks of so many of its contents.
+BLOCK = 512
 #: Cells of a set's histogram, and the most that one counts.
 CELLS, FULL = 64, 127
 #: Near-dedup compares all pairs that are left at once if there are at most so many for each content.
@@ -134,8 +136,8 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
     """One hash per band of the min-hashes of a set; an empty set has the same ones everywhere."""
     low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
     mixed = hashes ^ (hashes >> np.uint64(32))
-    for i in range(0, len(mixed), 2048):
-        np.minimum(low, (mixed[i : i + 2048, None] * _MULTIPLIERS).min(axis=0), out=low)
+    for i in range(0, len(mixed), 256):
+        np.minimum(low, (mixed[i : i + 256, None] * _MULTIPLIERS).min(axis=0), out=low)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND_ROWS):
         out = (out ^ low[k::BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
@@ -157,16 +159,19 @@ def may_reach(na: Column, nb: Column, ca: Column, cb: Column, least: float) -> C
 
 
 def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
-    """`(key, root)` for every distinct content that is similar to another: the MD5 of the text, and the smallest key
+    """`(key, root)` for every distinct content that is similar to another: the 16-byte MD5 of the text, and the smallest key
     that links reach. Two contents link if the Jaccard similarity of their sets of word shingles is at least
     `min_similarity`.
 
     SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
-    candidates come from min-hash bands; pairs whose sizes or histograms rule the similarity out for certain are
+    candidates come from min-hash bands, of so many rows that a passage which texts share but are not similar for seldom
+    fills one; pairs whose sizes or histograms rule the similarity out for certain are
     dropped, and the rest is verified exactly. In a band's bucket each content is first compared with two heads only,
     the most central one (whose buckets are the fullest) and the one with the smallest key, so a large group costs its
-    size. Then all pairs of a bucket that links don't connect yet are compared. While these are many, one more head a
-    bucket, another each turn, goes first: what it links need not be paired. No pair of a bucket is left out.
+    size. Then all pairs of a bucket that links don't connect yet are compared, in salted blocks: those that don't belong
+    to the bucket's largest group with all others, so a group that is linked already isn't paired with itself. While these
+    are many, one more head a bucket, another each turn, goes first: what it links need not be paired. No pair of a
+    bucket is left out.
     """
     short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -184,7 +189,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
-    rows = df.select(F.md5(body).alias("key"), sketch(body).alias("s")).select("key", "s.*")
+    rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s")).select("key", "s.*")
     each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.first("n").alias("n")))
     placed = each.select("key", F.explode("bands").alias("band"))
     # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
@@ -198,37 +203,42 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     near = may_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), min_similarity)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The edges among pairs `(a, b, na, nb)`."""
+        """The edges among pairs `(a, b, total)`; total is the sum of both sets' sizes."""
         pairs = saved(pairs)
         # Shingles of one text per content that is in a pair.
         wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-        texts = df.select(F.md5(body).alias("key"), body.alias("_t")).join(sized(wanted), "key")
+        texts = df.select(F.unhex(F.md5(body)).alias("key"), body.alias("_t")).join(sized(wanted), "key")
         sets = saved(texts.select("key", hashes(F.col("_t")).alias("h")).groupBy("key").agg(F.first("h").alias("h")))
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
-        both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
+        both = both.select("a", "b", "total", F.size(F.array_intersect("ha", "hb")).alias("shared"))
         return saved(both.where(F.when(F.col("total") == 0, True).otherwise(F.col("shared") >= min_similarity * (F.col("total") - F.col("shared")))).select("a", "b"))
 
     a = each.select(F.col("key").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na"))
     b = each.select(F.col("key").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
-    edges = verified(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb"))
+    named = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total"))
+    edges = verified(pairs.join(a, "a").join(b, "b").where(near).select(*named))
     turn, found = 0, True
     while True:
         roots = saved(components(edges).select(F.col("node").alias("key"), "root"))
-        # The buckets that links don't connect yet, with what the bounds need.
+        # The buckets that links don't connect yet, their largest groups, and what the bounds need.
         rooted = placed.select("key", "band").join(roots, "key", "left").select("key", "band", F.coalesce("root", "key").alias("root"))
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        groups = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+        mixed = groups.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+        mixed = mixed.select("band", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks"))
         apart = saved(rooted.join(mixed, "band").join(each.select("key", "cells", "n"), "key"))
         if apart.isEmpty():
             return roots
-        left = apart.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("cells").alias("ca"), F.col("n").alias("na"))
-        right = apart.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
-        rest = left.join(right, "band").where("a < b AND ra <> rb").where(near).select("a", "b", "na", "nb")
+        left = apart.select("band", "main", "blocks", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("cells").alias("ca"), F.col("n").alias("na"))
+        right = apart.select("band", "blocks", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
+        minor = left.where("ra <> main").withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).drop("blocks")
+        each_block = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        rest = minor.join(each_block, ["band", "block"]).where("ra <> rb AND (rb = main OR a < b)").where(near).select(*named)
         few = PAIRS_EACH * each.count()
         if not found or rest.limit(few + 1).count() <= few:
             return components(edges.union(verified(rest.distinct()))).select(F.col("node").alias("key"), "root")
         head = F.min_by(F.struct("b", "rb", "cb", "nb"), F.xxhash64(F.lit(turn), "band", "b")).alias("h")
         heads = right.groupBy("band").agg(head).select("band", "h.*")
-        more = verified(left.join(heads, "band").where("ra <> rb").where(near).select("a", "b", "na", "nb").distinct())
+        more = verified(left.join(heads, "band").where("ra <> rb").where(near).select(*named).distinct())
         # Turns end when they find little: the rest is then compared, however much it is.
         turn, found = turn + 1, 20 * more.count() > apart.select("key").distinct().count()
         edges = saved(edges.union(more))
@@ -241,7 +251,7 @@ def distinct_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Null text counts as empty; texts without words form one group. Rows that repeat the document that stays, id and
     text, stay with it. Other columns are kept; an empty table gives no rows.
     """
-    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     roots = saved(similar_contents(df, text, shingle, min_similarity))
     ids = saved(df.select(F.col(doc_id).alias("_d"), key.alias("key")).groupBy("_d", "key").agg(F.count("*").alias("_n")))
     ids = ids.join(roots, "key", "left").select("_d", "key", F.coalesce("root", "key").alias("root"))
