@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, give_back, saved, short_batches, sized, spread
+from skein.llm.common import components, forget, give_back, saved, short_batches, sized, spread
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
@@ -118,8 +118,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 BANDS, BAND_ROWS = 64, 8
 #: The pairs of a band's bucket are made in blocks of so many of its contents.
 BLOCK = 512
-#: Cells of a set's histogram, and the most that one counts.
-CELLS, FULL = 64, 127
+#: Longs of a set's parity bits.
+PARITY = 16
 #: Near-dedup compares all pairs that are left at once if there are at most so many for each content.
 PAIRS_EACH = 4
 _MULTIPLIERS = (np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -145,15 +145,18 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def histogram(hashes: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall in each cell, FULL at most. The sum of two histograms' differences is at most
-    the number of hashes that are in one of the sets only, however the hashes fall."""
-    return np.minimum(np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), FULL)
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY * 64 bits: whether the number of a set's hashes that fall on one is odd. A hash that two sets share changes
+    both alike, so their bits differ in at most as many places as there are hashes in one of the sets only."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def may_reach(na: Column, nb: Column, ca: Column, cb: Column, least: float) -> Column:
-    """False only if the Jaccard similarity of two sets is below `least` for certain, by their sizes and histograms."""
-    apart = F.aggregate(F.zip_with(ca, cb, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+def may_reach(na: Column, nb: Column, xa: Column, xb: Column, least: float) -> Column:
+    """False only if the Jaccard similarity of two sets is below `least` for certain, by their sizes and parity bits."""
+    apart = F.lit(0)
+    for i in range(PARITY):
+        apart = apart + F.bit_count(xa[i].bitwiseXOR(xb[i]))
     # At similarity J, (1 - J) / (1 + J) of both sizes' sum is in one set only.
     return (F.least(na, nb) >= least * F.greatest(na, nb)) & ((1 + least) * apart <= (1 - least) * (na + nb) + 1e-6)
 
@@ -165,7 +168,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
 
     SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
     candidates come from min-hash bands, of so many rows that a passage which texts share but are not similar for seldom
-    fills one; pairs whose sizes or histograms rule the similarity out for certain are
+    fills one; pairs whose sizes or parity bits rule the similarity out for certain are
     dropped, and the rest is verified exactly. In a band's bucket each content is first compared with two heads only,
     the most central one (whose buckets are the fullest) and the one with the smallest key, so a large group costs its
     size. Then all pairs of a bucket that links don't connect yet are compared, in salted blocks: those that don't belong
@@ -176,21 +179,21 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
 
-    @F.arrow_udf("struct<bands:array<long>,cells:array<tinyint>,n:long>")
+    @F.arrow_udf("struct<bands:array<long>,bits:array<long>,n:long>")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
-            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "cells": histogram(s).tolist(), "n": len(s)})
+            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "bits": parity(s).tolist(), "n": len(s)})
         give_back()
-        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int8())), ("n", pa.int64())]))
+        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("n", pa.int64())]))
 
     @F.arrow_udf("array<long>")
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
     rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s")).select("key", "s.*")
-    each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.first("n").alias("n")))
+    each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n").alias("n")))
     placed = each.select("key", F.explode("bands").alias("band"))
     # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
     full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
@@ -200,7 +203,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     heads = saved(heads.select("band", F.array("hub.key", "low").alias("heads")))
     pairs = placed.join(heads, "band").select("key", F.explode("heads").alias("head"))
     pairs = pairs.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
-    near = may_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb"), min_similarity)
+    near = may_reach(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), min_similarity)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The edges among pairs `(a, b, total)`; total is the sum of both sets' sizes."""
@@ -211,10 +214,12 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
         sets = saved(texts.select("key", hashes(F.col("_t")).alias("h")).groupBy("key").agg(F.first("h").alias("h")))
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b")
         both = both.select("a", "b", "total", F.size(F.array_intersect("ha", "hb")).alias("shared"))
-        return saved(both.where(F.when(F.col("total") == 0, True).otherwise(F.col("shared") >= min_similarity * (F.col("total") - F.col("shared")))).select("a", "b"))
+        linked = saved(both.where(F.when(F.col("total") == 0, True).otherwise(F.col("shared") >= min_similarity * (F.col("total") - F.col("shared")))).select("a", "b"))
+        forget(pairs), forget(wanted), forget(sets)
+        return linked
 
-    a = each.select(F.col("key").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na"))
-    b = each.select(F.col("key").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
+    a = each.select(F.col("key").alias("a"), F.col("bits").alias("pa"), F.col("n").alias("na"))
+    b = each.select(F.col("key").alias("b"), F.col("bits").alias("pb"), F.col("n").alias("nb"))
     named = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total"))
     edges = verified(pairs.join(a, "a").join(b, "b").where(near).select(*named))
     turn, found = 0, True
@@ -225,18 +230,19 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
         groups = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
         mixed = groups.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
         mixed = mixed.select("band", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks"))
-        apart = saved(rooted.join(mixed, "band").join(each.select("key", "cells", "n"), "key"))
+        apart = saved(rooted.join(mixed, "band").join(each.select("key", "bits", "n"), "key"))
         if apart.isEmpty():
             return roots
-        left = apart.select("band", "main", "blocks", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("cells").alias("ca"), F.col("n").alias("na"))
-        right = apart.select("band", "blocks", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
+        forget(roots)
+        left = apart.select("band", "main", "blocks", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("bits").alias("pa"), F.col("n").alias("na"))
+        right = apart.select("band", "blocks", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("bits").alias("pb"), F.col("n").alias("nb"))
         minor = left.where("ra <> main").withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).drop("blocks")
         each_block = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
         rest = minor.join(each_block, ["band", "block"]).where("ra <> rb AND (rb = main OR a < b)").where(near).select(*named)
         few = PAIRS_EACH * each.count()
         if not found or rest.limit(few + 1).count() <= few:
             return components(edges.union(verified(rest.distinct()))).select(F.col("node").alias("key"), "root")
-        head = F.min_by(F.struct("b", "rb", "cb", "nb"), F.xxhash64(F.lit(turn), "band", "b")).alias("h")
+        head = F.min_by(F.struct("b", "rb", "pb", "nb"), F.xxhash64(F.lit(turn), "band", "b")).alias("h")
         heads = right.groupBy("band").agg(head).select("band", "h.*")
         more = verified(left.join(heads, "band").where("ra <> rb").where(near).select(*named).distinct())
         # Turns end when they find little: the rest is then compared, however much it is.

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,12 @@ def test_template_by_counts_like_brute_force(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()}
     assert [got[i] for i in range(len(pages))] == want and deleted == 3 * 53
     assert sum("\n\n" in w for w in want[40:52]) == 12 and quoted in want[-53]
+
+
+def test_parity_bits_bound_what_two_sets_do_not_share():
+    rng = np.random.default_rng(5)
+    for n, new in [(0, 0), (0, 3), (40, 1), (300, 30), (300, 3000), (20_000, 500)]:
+        common, a, b = (rng.integers(0, 1 << 63, k, np.uint64) for k in (n, new, new // 2))
+        x, y = (simhash.parity(np.concatenate([common, s])) for s in (a, b))
+        differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        assert differ <= len(a) + len(b) and (new > 30 or differ >= 0.9 * (len(a) + len(b)) - 1)
