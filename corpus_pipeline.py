@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones: five-word shingles, similarity 0.8 or more."""
-    return simhash.distinct_documents(docs, shingle=5, min_similarity=0.8).select(*COLUMNS)
+    """The document with the smallest id of each group of linked ones. Two link if their SimHash fingerprints do, by op5's
+    rule (three-word shingles, at most 2 differing bits), or if their sets of five-word shingles have similarity 0.8 or more."""
+    return simhash.distinct_documents(docs, shingle=5, min_similarity=0.8, print_shingle=3).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,6 +114,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return docs.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def print_links(contents: DataFrame) -> DataFrame:
+    """Edges `(a, b)` between keys of `contents(key, fp)`: enough of them to connect all whose fingerprints are equal or
+    linked (see `links`)."""
+    prints = saved(contents.groupBy("fp").agg(F.min("key").alias("first")))
+    same = contents.join(prints, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    ends = links(spread(prints.select("fp"), "fp"))
+    for c in ("a", "b"):
+        ends = ends.join(prints.select(F.col("fp").alias(c), F.col("first").alias(f"key_{c}")), c)
+    edges = saved(same.unionByName(ends.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))))
+    forget(prints)
+    return edges
+
+
 #: Min-hash bands and rows of one: two texts at the least similarity share a band with probability 0.99999.
 BANDS, BAND_ROWS = 64, 8
 #: The pairs of a band's bucket are made in blocks of so many of its contents.
@@ -161,12 +174,13 @@ def may_reach(na: Column, nb: Column, xa: Column, xb: Column, least: float) -> C
     return (F.least(na, nb) >= least * F.greatest(na, nb)) & ((1 + least) * apart <= (1 - least) * (na + nb) + 1e-6)
 
 
-def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
+def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_similarity: float = 0.8, print_shingle: int | None = None) -> DataFrame:
     """`(key, root)` for every distinct content that is similar to another: the 16-byte MD5 of the text, and the smallest key
     that links reach. Two contents link if the Jaccard similarity of their sets of word shingles is at least
-    `min_similarity`.
+    `min_similarity`, and with `print_shingle` also if their fingerprints of so many words a shingle link, as in
+    `near_duplicates`: by grid cells, then the Hamming distance.
 
-    SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so
+    SimHash distances at that similarity reach far beyond what a radius search can index (about 10 of 64 bits), so for it
     candidates come from min-hash bands, of so many rows that a passage which texts share but are not similar for seldom
     fills one; pairs whose sizes or parity bits rule the similarity out for certain are
     dropped, and the rest is verified exactly. In a band's bucket each content is first compared with two heads only,
@@ -192,8 +206,9 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
-    rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s")).select("key", "s.*")
-    each = saved(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n").alias("n")))
+    prints = [fingerprint(F.col(text), print_shingle).alias("fp")] if print_shingle else []
+    rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s"), *prints).select("key", "s.*", *(["fp"] if prints else []))
+    each = saved(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns[1:])))
     placed = each.select("key", F.explode("bands").alias("band"))
     # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
     full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
@@ -222,6 +237,8 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     b = each.select(F.col("key").alias("b"), F.col("bits").alias("pb"), F.col("n").alias("nb"))
     named = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total"))
     edges = verified(pairs.join(a, "a").join(b, "b").where(near).select(*named))
+    if prints:
+        edges = edges.union(print_links(each.select("key", "fp")))
     turn, found = 0, True
     while True:
         roots = saved(components(edges).select(F.col("node").alias("key"), "root"))
@@ -250,7 +267,9 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
         edges = saved(edges.union(more))
 
 
-def distinct_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
+def distinct_documents(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, min_similarity: float = 0.8, print_shingle: int | None = None
+) -> DataFrame:
     """The rows of `df` without near-copies: of each group of similar contents (see `similar_contents`), copies
     included, the document with the smallest doc_id stays (null last), ties by content.
 
@@ -258,7 +277,7 @@ def distinct_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     text, stay with it. Other columns are kept; an empty table gives no rows.
     """
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    roots = saved(similar_contents(df, text, shingle, min_similarity))
+    roots = saved(similar_contents(df, text, shingle, min_similarity, print_shingle))
     ids = saved(df.select(F.col(doc_id).alias("_d"), key.alias("key")).groupBy("_d", "key").agg(F.count("*").alias("_n")))
     ids = ids.join(roots, "key", "left").select("_d", "key", F.coalesce("root", "key").alias("root"))
     stays = F.min(F.struct(F.col("_d").isNull().alias("null"), F.col("_d").alias("d"), F.col("key").alias("key"))).alias("s")

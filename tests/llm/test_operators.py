@@ -222,6 +222,30 @@ def test_pairs_similar_to_no_head_link(spark, monkeypatch, each):
     assert len(want) == 20 and sorted(r["doc_id"] for r in simhash.distinct_documents(df).collect()) == want
 
 
+def test_the_pipeline_links_by_fingerprints_and_by_similarity(spark):
+    """All pairs by brute force: op5's rule alone links some, similarity alone others, and one chain needs both."""
+    import corpus_pipeline
+    from tests.llm.test_queries import fingerprint, union
+
+    passage, line, texts = words(530, 700), words(13, 1500), []
+    for k in range(40):
+        texts.append(" ".join(passage + words(10, 800 + k // 2) + words(60, 900 + k)))
+    for k in range(3):
+        texts.append(" ".join(line * 60 + words(20, 1600 + k)))
+    texts += [" ".join(line * 2 + words(20, 1600)), texts[0], "", None]
+    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    prints = [fingerprint(t) for t in texts]
+    every = [(i, j) for i in range(len(texts)) for j in range(i)]
+    similar = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    near = {(i, j) for i, j in every if (prints[i] ^ prints[j]).bit_count() <= 2}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    root = union(len(texts), near | similar)
+    want = [i for i in range(len(texts)) if root[i] == i]
+    alone = union(len(texts), similar)
+    assert near - similar and similar - near and len(want) < sum(alone[i] == i for i in range(len(texts)))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df.repartition(3), "").collect()) == want
+
+
 def test_leaks_in_another_order_like_brute_force(spark):
     from collections import Counter
 
