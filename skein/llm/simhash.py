@@ -193,22 +193,22 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     short_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
 
-    @F.arrow_udf("struct<bands:array<long>,bits:array<long>,n:long>")
+    @F.arrow_udf("struct<bands:array<long>,bits:array<long>,n:long,fp:long>")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
-            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "bits": parity(s).tolist(), "n": len(s)})
+            fp = int(np.uint64(simhash(t, print_shingle)).view(np.int64)) if print_shingle else None
+            rows.append({"bands": band_hashes(s).view(np.int64).tolist(), "bits": parity(s).tolist(), "n": len(s), "fp": fp})
         give_back()
-        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("n", pa.int64())]))
+        return pa.array(rows, pa.struct([("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("n", pa.int64()), ("fp", pa.int64())]))
 
     @F.arrow_udf("array<long>")
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
-    prints = [fingerprint(F.col(text), print_shingle).alias("fp")] if print_shingle else []
-    rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s"), *prints).select("key", "s.*", *(["fp"] if prints else []))
-    each = saved(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns[1:])))
+    rows = df.select(F.unhex(F.md5(body)).alias("key"), sketch(body).alias("s")).select("key", "s.*")
+    each = saved(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("bands", "bits", "n", "fp"))))
     placed = each.select("key", F.explode("bands").alias("band"))
     # Tables that are joined by band are written down, so that the joins have plain exchanges and can split a hot band.
     full = saved(placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
@@ -237,7 +237,7 @@ def similar_contents(df: DataFrame, text: str = "text", shingle: int = 5, min_si
     b = each.select(F.col("key").alias("b"), F.col("bits").alias("pb"), F.col("n").alias("nb"))
     named = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total"))
     edges = verified(pairs.join(a, "a").join(b, "b").where(near).select(*named))
-    if prints:
+    if print_shingle:
         edges = edges.union(print_links(each.select("key", "fp")))
     turn, found = 0, True
     while True:
