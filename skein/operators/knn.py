@@ -1,13 +1,14 @@
 """Nearest neighbours by a full scan, exact.
 
-`exact_knn` answers a stated batch of queries in one pass over the rows: queries go to the tasks in blocks of bounded
-size, every task keeps its k best per query in one matrix product per Arrow batch, and k rows per task and query are
-shuffled. `pairwise` is the same distance as a plain column expression.
+`exact_knn` answers a stated batch of queries in one pass over the rows for every BLOCK of them, all in one plan: a task
+multiplies each Arrow batch with the queries in tiles of bounded size and keeps its k best per query, and k rows per task
+and query are shuffled. `pairwise` is the same distance as a plain column expression.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ from pyspark.sql import types as T
 from skein.config import METRICS
 from skein.errors import QueryError
 from skein.functions import vectors as V
-from skein.operators.topk import DECIMALS, Smallest, arrow_type, best, check_k, id_array, matrix
+from skein.operators.topk import DECIMALS, Smallest, best, check_k, found_schema, id_array, matrix, tiles
 
-#: Queries of one block, which is sent to every task; a larger batch takes a pass over the rows per block.
+#: Queries that are sent to a task at a time; a larger batch takes a pass over the rows for each so many.
 BLOCK = 4096
 
 
@@ -62,11 +63,9 @@ def query_blocks(queries: DataFrame, qid: str, vector: str, block: int = BLOCK)
         yield ids, np.array(rows, np.float64)
 
 
-def _scan(rows: DataFrame, q: np.ndarray, k: int, metric: str) -> DataFrame:
+def _scan(rows: DataFrame, names: list, kind: T.DataType, q: np.ndarray, k: int, metric: str, block: int) -> DataFrame:
     """Per task, the k nearest rows `(id, vector)` of each query."""
-    kind = rows.schema[0].dataType
-    shape = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])
-    to_arrow = pa.schema([("_q", pa.int32()), ("id", arrow_type(kind)), ("distance", pa.float64())])
+    shape, to_arrow = found_schema(kind, rows.schema[0].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Smallest(len(q), k)
@@ -75,32 +74,36 @@ def _scan(rows: DataFrame, q: np.ndarray, k: int, metric: str) -> DataFrame:
             if not len(at):
                 continue
             ids = id_array(batch.column(0))[at]
-            found = distances(metric, q, normalized(values) if metric == "cosine" else values)
-            for n in range(len(q)):
-                kept.add(n, found[n], ids)
-        yield kept.table(to_arrow)
+            values = normalized(values) if metric == "cosine" else values
+            for some in tiles(len(q), len(at), block):
+                kept.add(some, distances(metric, q[some], values), ids)
+        yield kept.table(to_arrow, names)
 
     return rows.mapInArrow(run, shape)
 
 
+def ranked(scans: list[DataFrame], k: int, metric: str) -> DataFrame:
+    """`(qid, id, distance, score, rank)` of what the tasks of all passes yield: one shuffle of k rows a task and query.
+    Queries are told apart by pass and position."""
+    passes = [s.withColumn("_q", F.struct(F.lit(n).alias("pass"), F.col("_q").alias("at"))) for n, s in enumerate(scans)]
+    found = best(reduce(DataFrame.unionByName, passes), k, [F.col("distance"), F.col("id")], by="_q")
+    return found.select("qid", "id", "distance", V.score(metric, F.col("distance")).alias("score"), "rank")
+
+
 def exact_knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *, id: str = "id", vector: str = "vector", qid: str = "qid", query: str = "vector", block: int = BLOCK) -> DataFrame:
     """The `k` nearest rows of every query: `(qid, id, distance, score, rank)`, ties by id.
 
     `rows` may be filtered before; only its id and vector are read. Rows whose vector is null, of another size or not
-    finite are never found; ids are longs, ints or strings and not null. An empty side gives no rows, k = 0 too.
+    finite are never found; ids are longs, ints or strings and not null. An empty side gives no rows, k = 0 too. `block`
+    bounds the queries of one matrix product.
     """
     if metric not in METRICS:
         raise QueryError(f"metric is one of {METRICS}")
     check_k(k)
-    spark = rows.sparkSession
     narrow = rows.select(F.col(id).alias("id"), F.col(vector).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
-    out = None
-    for ids, q in query_blocks(queries, qid, query, block) if k else ():
-        names = spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("qid", queries.schema[qid].dataType)]))
-        found = best(_scan(narrow, normalized(q) if metric == "cosine" else q, k, metric), k, [F.col("distance"), F.col("id")], by="_q")
-        found = found.join(F.broadcast(names), "_q").select("qid", "id", "distance", V.score(metric, F.col("distance")).alias("score"), "rank")
-        out = found if out is None else out.unionByName(found)
-    return empty_result(rows, queries, id, qid) if out is None else out
+    kind = queries.schema[qid].dataType
+    scans = [_scan(narrow, ids, kind, normalized(q) if metric == "cosine" else q, k, metric, block) for ids, q in (query_blocks(queries, qid, query) if k else ())]
+    return ranked(scans, k, metric) if scans else empty_result(rows, queries, id, qid)
 
 
 def empty_result(rows: DataFrame, queries: DataFrame, id: str, qid: str) -> DataFrame:

@@ -17,8 +17,8 @@ from skein.config import PqConfig
 from skein.errors import ConfigError, QueryError
 from skein.functions import vectors as V
 from skein.operators.ivf import kmeans, training_sample
-from skein.operators.knn import BLOCK, distances, empty_result, normalized, query_blocks
-from skein.operators.topk import DECIMALS, Smallest, arrow_type, best, check_k, id_array, matrix
+from skein.operators.knn import BLOCK, distances, empty_result, normalized, query_blocks, ranked
+from skein.operators.topk import DECIMALS, Smallest, best, check_k, found_schema, id_array, matrix, tiles
 
 
 def train_codebook(rows: DataFrame, config: PqConfig | None = None, metric: str = "cosine", *, id: str = "id", vector: str = "vector") -> np.ndarray:
@@ -107,29 +107,24 @@ def adc_knn(coded: DataFrame, queries: DataFrame, book: np.ndarray, k: int = 10,
     """The `k` rows of the least approximate distance to every query: the columns of `exact_knn`. Only ids and codes
     are read; k rows a task and query are shuffled."""
     check_k(k)
-    kind = coded.schema[id].dataType
-    shape = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])
-    to_arrow = pa.schema([("_q", pa.int32()), ("id", arrow_type(kind)), ("distance", pa.float64())])
-    out = None
-    for ids, raw in query_blocks(queries, qid, query, block) if k else ():
+    shape, to_arrow = found_schema(queries.schema[qid].dataType, coded.schema[id].dataType)
+    narrow = coded.select(F.col(id).alias("id"), F.col(codes).alias("codes")).where("id IS NOT NULL AND codes IS NOT NULL")
+    scans = []
+    for ids, raw in query_blocks(queries, qid, query) if k else ():
         tables = query_tables(normalized(raw) if metric == "cosine" else raw, book, metric)
 
-        def run(batches: Iterator[pa.RecordBatch], tables: np.ndarray = tables) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], asked: list = ids, tables: np.ndarray = tables) -> Iterator[pa.RecordBatch]:
             kept = Smallest(len(tables), k)
             for batch in batches:
                 values, at = matrix(batch.column(1), len(book))
                 if len(at):
-                    found, names = adc(values.astype(np.int64), tables), id_array(batch.column(0))[at]
-                    for n in range(len(tables)):
-                        kept.add(n, found[n], names)
-            yield kept.table(to_arrow)
-
-        narrow = coded.select(F.col(id).alias("id"), F.col(codes).alias("codes")).where("id IS NOT NULL AND codes IS NOT NULL")
-        names = coded.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("qid", queries.schema[qid].dataType)]))
-        found = best(narrow.mapInArrow(run, shape), k, [F.col("distance"), F.col("id")], by="_q")
-        found = found.join(F.broadcast(names), "_q").select("qid", "id", "distance", V.score(metric, F.col("distance")).alias("score"), "rank")
-        out = found if out is None else out.unionByName(found)
-    return empty_result(coded, queries, id, qid) if out is None else out
+                    given, names = values.astype(np.int64), id_array(batch.column(0))[at]
+                    for some in tiles(len(tables), len(at), block):
+                        kept.add(some, adc(given, tables[some]), names)
+            yield kept.table(to_arrow, asked)
+
+        scans.append(narrow.mapInArrow(run, shape))
+    return ranked(scans, k, metric) if scans else empty_result(coded, queries, id, qid)
 
 
 def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *, id: str = "id", vector: str = "vector", qid: str = "qid", query: str = "vector") -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.errors import QueryError
 
 #: Distances tie when they agree to so many decimals: equal vectors then tie in whatever order they were summed.
 DECIMALS = 9
+#: Elements of one matrix of distances. A batch of rows meets the queries in tiles of so many, which bounds a task's memory.
+TILE = 1 << 20
 
 
 def check_k(k: int) -> int:
@@ -29,42 +32,60 @@ def best(df: DataFrame, k: int, order: Sequence[Column], by: str = "qid") -> Dat
 
 
 class Smallest:
-    """The k smallest (distance, id) per query over any number of blocks of rows, in memory for k rows a query."""
+    """The k smallest (distance, id) per query over any number of tiles of distances. Memory is k rows a query and a few
+    tiles, however many rows there are."""
 
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
-        self.distances: list[np.ndarray] = [np.empty(0)] * queries
-        self.ids: list = [None] * queries
         self.bounds = np.full(queries, np.inf)
-
-    def add(self, query: int, distances: np.ndarray, ids: np.ndarray) -> None:
-        near = np.flatnonzero(distances <= self.bounds[query])
-        if len(near) > 4 * self.k:
-            near = near[distances[near] <= np.partition(distances[near], self.k - 1)[self.k - 1]]
-        if not len(near):
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, queries: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
+        """Takes distances (query, row) of the queries at these positions to the rows with these ids; NaN is no pair."""
+        near = distances <= self.bounds[queries, None]
+        if np.count_nonzero(near) > 4 * self.k * len(queries):
+            last = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
+            near &= distances <= np.where(np.isnan(last), np.inf, last)[:, None]
+        at, row = np.nonzero(near)
+        if not len(at):
             return
-        d, i = distances[near], ids[near]
-        if self.ids[query] is not None:
-            d, i = np.concatenate([self.distances[query], d]), np.concatenate([self.ids[query], i])
-        order = np.lexsort((i, d))[: self.k]
-        self.distances[query], self.ids[query] = d[order], i[order]
-        if len(order) == self.k:
-            self.bounds[query] = d[order[-1]]
-
-    def table(self, schema: pa.Schema) -> pa.RecordBatch:
-        """Columns (query position, id, distance)."""
-        found = [q for q, i in enumerate(self.ids) if i is not None and len(i)]
-        at = np.repeat(np.array(found, np.int32), [len(self.ids[q]) for q in found])
-        ids = np.concatenate([self.ids[q] for q in found]) if found else []
-        return pa.record_batch(
-            [pa.array(at, pa.int32()), pa.array(list(ids), schema.field(1).type), pa.array(np.concatenate([self.distances[q] for q in found]) if found else [], pa.float64())],
-            schema=schema,
-        )
-
-
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    """The Arrow type of an id: string, long or int."""
-    return pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+        self.kept.append((queries[at], distances[at, row], ids[row]))
+        self.waiting += len(at)
+        if self.waiting > max(2 * self.k * len(self.bounds), TILE >> 4):
+            self._merge()
+
+    def _merge(self) -> None:
+        q, d, i = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+        order = np.lexsort((i, d, q))
+        n = np.bincount(q, minlength=len(self.bounds))
+        order = order[np.arange(len(q)) - (np.cumsum(n) - n)[q[order]] < self.k]
+        q, d, i = q[order], d[order], i[order]
+        full = np.flatnonzero(n >= self.k)
+        self.bounds[full] = d[np.cumsum(np.minimum(n, self.k))[full] - 1]
+        self.kept, self.waiting = [(q, d, i)], 0
+
+    def table(self, schema: pa.Schema, names: list) -> pa.RecordBatch:
+        """Columns (query position, the query's name, id, distance)."""
+        if not self.kept:
+            return pa.RecordBatch.from_pylist([], schema)
+        self._merge()
+        q, d, i = self.kept[0]
+        of = pa.array(names, schema.field(1).type)
+        return pa.record_batch([pa.array(q, pa.int32()), of.take(pa.array(q)), pa.array(i.tolist(), schema.field(2).type), pa.array(d, pa.float64())], schema=schema)
+
+
+def found_schema(qid: T.DataType, id: T.DataType) -> tuple[T.StructType, pa.Schema]:
+    """What a task yields: `Smallest.table`, for Spark and for Arrow."""
+    fields = {"_q": T.IntegerType(), "qid": qid, "id": id, "distance": T.DoubleType()}
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()]), pa.schema([(n, to_arrow_type(t)) for n, t in fields.items()])
+
+
+def tiles(queries: int, rows: int, block: int) -> Iterator[np.ndarray]:
+    """Positions of the queries, at most `block` at a time and no more than make a tile with so many rows."""
+    step = max(1, min(block, TILE // max(rows, 1)))
+    for at in range(0, queries, step):
+        yield np.arange(at, min(at + step, queries))
 
 
 def id_array(column: pa.Array) -> np.ndarray:

@@ -1,15 +1,18 @@
 import json
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.config import CollectionConfig, IvfConfig, PqConfig, StorageConfig
 from skein.errors import ConfigError, QueryError
 from skein.functions import text as X
 from skein.functions.filters import StructFields, VariantFields, compile_filter
-from skein.operators import fusion, ivf, metrics, pq, replicated, versions
+from skein.operators import fusion, ivf, metrics, pq, replicated, topk, versions
 from skein.operators.bm25 import bm25
 from skein.operators.knn import distances, exact_knn, normalized
 from skein.plans.planner import Planner
@@ -221,3 +224,63 @@ def test_replicated_rules(spark):
     assert replicated.commit_index(match, log, 3).first()[0] == 0
     logs = spark.createDataFrame([(1, 1, 1, "a"), (2, 1, 1, "a")], "node long, index long, term long, command string")
     assert replicated.convergence(logs).first()["converged"]
+
+
+def test_many_blocks_are_one_plan(spark):
+    data = clustered_vectors(spark, 200, 8, clusters=4, seed=1).cache()
+    asked = data.where("id < 60").select(F.col("id").alias("qid"), "vector")
+    found = exact_knn(data, asked, 5, block=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.orderBy("qid", "rank").collect() == exact_knn(data, asked, 5).orderBy("qid", "rank").collect()
+
+
+def _traced(f) -> float:
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_smallest_is_bounded_and_exact():
+    rng = np.random.default_rng(2)
+    q, rows, ids = rng.normal(size=(3000, 8)), rng.normal(size=(6000, 8)), rng.permutation(6000)
+    rows[:2000] = rows[0]  # more ties than k
+    kept = topk.Smallest(len(q), 10)
+
+    def run():
+        for at in range(0, len(rows), 2000):
+            for some in topk.tiles(len(q), 2000, 4096):
+                kept.add(some, distances("l2", q[some], rows[at : at + 2000]), ids[at : at + 2000])
+
+    assert _traced(run) < 150  # one matrix of 3000 x 2000 takes 48 MB, its square's parts as much again each
+    schema = topk.found_schema(T.LongType(), T.LongType())[1]
+    found = kept.table(schema, list(range(len(q)))).to_pydict()
+    assert found["qid"] == found["_q"] == [n for n in range(len(q)) for _ in range(10)]
+    for n in (0, 1, 2999):
+        d = distances("l2", q[n : n + 1], rows)[0]
+        assert found["id"][10 * n : 10 * n + 10] == ids[np.lexsort((ids, d))[:10]].tolist()
+
+
+@pytest.mark.parametrize("search", ["exact_knn", "adc_knn", "probe"])
+def test_a_task_works_in_tiles(spark, monkeypatch, search):
+    data = random_vectors(spark, 3000, 8, seed=4).select("id", "vector").cache()
+    asked = data.withColumnRenamed("id", "qid")
+    caught, plain = [], type(data).mapInArrow
+    monkeypatch.setattr(type(data), "mapInArrow", lambda self, f, shape: caught.append(f) or plain(self, f, shape))
+    vectors = np.array([r[0] for r in data.select("vector").collect()])
+    columns = [pa.array(range(3000)), pa.array(vectors.tolist())]
+    if search == "exact_knn":
+        exact_knn(data, asked, 10, "l2")
+    elif search == "adc_knn":
+        book = np.stack(np.split(vectors[:16], 4, axis=1))
+        pq.adc_knn(data.withColumn("codes", pq.encode(F.col("vector"), book, "l2")), asked, book, 10, "l2")
+        columns[1] = pa.array(pq.encode_matrix(vectors, book).tolist())
+    else:
+        ivf.probe(data.withColumn("cell", F.lit(0)), asked, vectors[:1], 10, 1, "l2")
+        columns.append(pa.array([0] * 3000))
+    assert len(caught) == 1
+    batch = pa.record_batch(columns, names=[str(n) for n in range(len(columns))])
+    # 3000 queries by 3000 rows: one matrix is 72 MB
+    assert _traced(lambda: list(caught[0](iter([batch])))) < 100
