@@ -8,7 +8,6 @@ and query are shuffled. `pairwise` is the same distance as a plain column expres
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from skein.config import METRICS
 from skein.errors import QueryError
 from skein.functions import vectors as V
-from skein.operators.topk import DECIMALS, Smallest, best, check_k, found_schema, id_array, matrix, tiles
+from skein.operators.topk import DECIMALS, Smallest, check_k, found_schema, id_array, matrix, merged, tiles
 
 #: Queries that are sent to a task at a time; a larger batch takes a pass over the rows for each so many.
 BLOCK = 4096
@@ -83,11 +82,8 @@ def _scan(rows: DataFrame, names: list, kind: T.DataType, q: np.ndarray, k: int,
 
 
 def ranked(scans: list[DataFrame], k: int, metric: str) -> DataFrame:
-    """`(qid, id, distance, score, rank)` of what the tasks of all passes yield: one shuffle of k rows a task and query.
-    Queries are told apart by pass and position."""
-    passes = [s.withColumn("_q", F.struct(F.lit(n).alias("pass"), F.col("_q").alias("at"))) for n, s in enumerate(scans)]
-    found = best(reduce(DataFrame.unionByName, passes), k, [F.col("distance"), F.col("id")], by="_q")
-    return found.select("qid", "id", "distance", V.score(metric, F.col("distance")).alias("score"), "rank")
+    """`(qid, id, distance, score, rank)` of what the tasks yield."""
+    return merged(scans, k).select("qid", "id", "distance", V.score(metric, F.col("distance")).alias("score"), "rank")
 
 
 def exact_knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *, id: str = "id", vector: str = "vector", qid: str = "qid", query: str = "vector", block: int = BLOCK) -> DataFrame:

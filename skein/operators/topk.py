@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,12 @@ class Smallest:
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
         self.bounds = np.full(queries, np.inf)
-        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.kept: list[tuple[np.ndarray, ...]] = []
         self.waiting = 0
 
-    def add(self, queries: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
-        """Takes distances (query, row) of the queries at these positions to the rows with these ids; NaN is no pair."""
+    def add(self, queries: np.ndarray, distances: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> None:
+        """Takes distances (query, row) of the queries at these positions to the rows with these ids; NaN is no pair.
+        `more` are other numbers of the same pairs, which are kept with them."""
         near = distances <= self.bounds[queries, None]
         if np.count_nonzero(near) > 4 * self.k * len(queries):
             last = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
@@ -50,37 +52,44 @@ class Smallest:
         at, row = np.nonzero(near)
         if not len(at):
             return
-        self.kept.append((queries[at], distances[at, row], ids[row]))
+        self.kept.append((queries[at], distances[at, row], ids[row], *(m[at, row] for m in more)))
         self.waiting += len(at)
         if self.waiting > max(2 * self.k * len(self.bounds), TILE >> 4):
             self._merge()
 
     def _merge(self) -> None:
-        q, d, i = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+        q, d, i, *more = (np.concatenate(c) for c in zip(*self.kept, strict=True))
         order = np.lexsort((i, d, q))
         n = np.bincount(q, minlength=len(self.bounds))
         order = order[np.arange(len(q)) - (np.cumsum(n) - n)[q[order]] < self.k]
         q, d, i = q[order], d[order], i[order]
         full = np.flatnonzero(n >= self.k)
         self.bounds[full] = d[np.cumsum(np.minimum(n, self.k))[full] - 1]
-        self.kept, self.waiting = [(q, d, i)], 0
+        self.kept, self.waiting = [(q, d, i, *(m[order] for m in more))], 0
 
     def table(self, schema: pa.Schema, names: list) -> pa.RecordBatch:
-        """Columns (query position, the query's name, id, distance)."""
+        """Columns (query position, the query's name, id, distance, more)."""
         if not self.kept:
             return pa.RecordBatch.from_pylist([], schema)
         self._merge()
-        q, d, i = self.kept[0]
+        q, d, i, *more = self.kept[0]
         of = pa.array(names, schema.field(1).type)
-        return pa.record_batch([pa.array(q, pa.int32()), of.take(pa.array(q)), pa.array(i.tolist(), schema.field(2).type), pa.array(d, pa.float64())], schema=schema)
+        return pa.record_batch([pa.array(q, pa.int32()), of.take(pa.array(q)), pa.array(i.tolist(), schema.field(2).type), *(pa.array(x, pa.float64()) for x in (d, *more))], schema=schema)
 
 
-def found_schema(qid: T.DataType, id: T.DataType) -> tuple[T.StructType, pa.Schema]:
+def found_schema(qid: T.DataType, id: T.DataType, *more: str) -> tuple[T.StructType, pa.Schema]:
     """What a task yields: `Smallest.table`, for Spark and for Arrow."""
-    fields = {"_q": T.IntegerType(), "qid": qid, "id": id, "distance": T.DoubleType()}
+    fields = {"_q": T.IntegerType(), "qid": qid, "id": id} | {n: T.DoubleType() for n in ("distance", *more)}
     return T.StructType([T.StructField(n, t) for n, t in fields.items()]), pa.schema([(n, to_arrow_type(t)) for n, t in fields.items()])
 
 
+def merged(scans: Sequence[DataFrame], k: int) -> DataFrame:
+    """The k best, with `rank`, of what the tasks of all passes yield: one shuffle of k rows a task and query. Queries are
+    told apart by pass and position."""
+    passes = [s.withColumn("_q", F.struct(F.lit(n).alias("pass"), F.col("_q").alias("at"))) for n, s in enumerate(scans)]
+    return best(reduce(DataFrame.unionByName, passes), k, [F.col("distance"), F.col("id")], by="_q")
+
+
 def tiles(queries: int, rows: int, block: int) -> Iterator[np.ndarray]:
     """Positions of the queries, at most `block` at a time and no more than make a tile with so many rows."""
     step = max(1, min(block, TILE // max(rows, 1)))
@@ -89,7 +98,13 @@ def tiles(queries: int, rows: int, block: int) -> Iterator[np.ndarray]:
 
 
 def id_array(column: pa.Array) -> np.ndarray:
-    """Ids as NumPy values that sort."""
+    """Ids as NumPy values that sort; those of several fields by these in order."""
+    if pa.types.is_struct(column.type):
+        parts = {f.name: id_array(column.field(n)) for n, f in enumerate(column.type)}
+        out = np.empty(len(column), [(n, p.dtype) for n, p in parts.items()])
+        for n, p in parts.items():
+            out[n] = p
+        return out
     return np.array(column.to_pylist(), dtype=str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
 
 
