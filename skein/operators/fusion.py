@@ -22,14 +22,21 @@ def _weights(lists: Sequence, weights: Sequence[float] | None) -> list[float]:
 
 def _union(lists: Sequence[DataFrame], value: list) -> DataFrame:
     # ranks stay per list, so ties keep the order of first sight: list by list, then by place
-    parts = [d.select("qid", "id", v.alias("part"), *(F.when(F.lit(j == i), F.col("rank")).alias(f"rank_{j}") for j in range(len(lists)))) for i, (d, v) in enumerate(zip(lists, value, strict=True))]
+    parts = [d.select("qid", "id", v.alias("part"), F.col("score").alias("own"), *(F.when(F.lit(j == i), F.col("rank")).alias(f"rank_{j}") for j in range(len(lists)))) for i, (d, v) in enumerate(zip(lists, value, strict=True))]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _fused(lists: Sequence[DataFrame], value: list, k: int | None) -> DataFrame:
+def _total(lists: Sequence[DataFrame], value: list) -> DataFrame:
     places = [f"rank_{j}" for j in range(len(lists))]
-    total = _union(lists, value).groupBy("qid", "id").agg(F.sum("part").alias("score"), *(F.min(p).alias(p) for p in places))
-    order = [F.round("score", DECIMALS).desc(), *(F.col(p).asc_nulls_last() for p in places), F.col("id")]
+    return _union(lists, value).groupBy("qid", "id").agg(F.sum("part").alias("score"), F.max("own").alias("own"), *(F.min(p).alias(p) for p in places))
+
+
+def _order(lists: int) -> list:
+    return [F.round("score", DECIMALS).desc(), *(F.col(f"rank_{j}").asc_nulls_last() for j in range(lists)), F.col("id")]
+
+
+def _fused(lists: Sequence[DataFrame], value: list, k: int | None) -> DataFrame:
+    total, order = _total(lists, value).drop("own"), _order(len(lists))
     if k:
         return best(total, k, order)
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long"))
@@ -52,9 +59,8 @@ def weighted_fusion(lists: Sequence[DataFrame], weights: Sequence[float] | None
 def merge(dense: DataFrame, lexical: DataFrame, k: int, weights: Sequence[float] | None = None, rrf_k: float = RRF_K) -> DataFrame:
     """Hybrid results `(qid, id, score, rank)`: fused where a query has both lists; where one is empty, the other as it
     is, with its own scores."""
-    sides = dense.select("qid", F.lit(1).alias("d"), F.lit(0).alias("x")).unionByName(lexical.select("qid", F.lit(0).alias("d"), F.lit(1).alias("x"))).groupBy("qid").agg((F.min("d") < F.max("d")).alias("both"), F.max("d").alias("dense"))
-    own = reduce(DataFrame.unionByName, [d.select("qid", "id", F.col("score").alias("own")) for d in (dense, lexical)])
-    fused = _fused([dense, lexical], [F.lit(w) / (F.lit(float(rrf_k)) + F.col("rank")) for w in _weights([0, 1], weights)], k)
-    alone = own.groupBy("qid", "id").agg(F.max("own").alias("own"))
-    found = fused.join(sides.where("both").select("qid").withColumn("both", F.lit(True)), "qid", "left").join(alone, ["qid", "id"])
+    score, whole = [F.lit(w) / (F.lit(float(rrf_k)) + F.col("rank")) for w in _weights([0, 1], weights)], Window.partitionBy("qid")
+    # Both lists are read once: they are whole searches.
+    total = _total([dense, lexical], score).withColumn("both", F.max("rank_0").over(whole).isNotNull() & F.max("rank_1").over(whole).isNotNull())
+    found = best(total, k, _order(2)) if k else total.withColumn("rank", F.row_number().over(whole.orderBy(*_order(2))).cast("long"))
     return found.select("qid", "id", F.when(F.col("both"), F.col("score")).otherwise(F.col("own")).alias("score"), "rank")

@@ -46,8 +46,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
+#: Rows of a few numbers that may be broadcast, so that the texts they are joined with are not shuffled.
+_SMALL_ROWS = 2_000_000
+
+
+def corpus(spark: SparkSession, d: str, vectors: bool = True) -> DataFrame:
+    """`vectors` False: without them, joined where the texts are read, and dealt out: texts with an embedding may lie in
+    few files."""
     docs, emb, labels = (table(spark, d, n) for n in ("documents", "embeddings", "labels"))
+    if not vectors:
+        emb, labels = B.sized(emb.drop("embedding"), _SMALL_ROWS), B.sized(labels, _SMALL_ROWS)
+        return docs.join(emb.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(labels, "doc_id", "left").withColumnRenamed("doc_id", "id").repartition(4 * spark.sparkContext.defaultParallelism, "id")
     return docs.join(emb.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(labels, "doc_id", "left").withColumnRenamed("doc_id", "id").withColumnRenamed("embedding", "vector")
 
 
@@ -324,7 +333,7 @@ def _lists(spark: SparkSession, d: str, k: int, spec: dict | None = None, texts:
     docs, asked = corpus(spark, d), _hybrid_queries(spark, d)
     allow = compile_filter(spec, StructFields(docs.schema)).predicate
     asked = asked if texts is None else asked.drop("text").join(texts, "qid")
-    return [exact_knn(docs.where(allow), asked, k, "cosine"), B.bm25(docs, asked, k, allow=allow)]
+    return [exact_knn(docs.where(allow), asked, k, "cosine"), B.bm25(corpus(spark, d, vectors=False), asked, k, allow=allow)]
 
 
 @query(f"WITH {_hybrid_ctes(20)}, {_rrf_sql(None)} SELECT qid, id, round(score, 6) AS score, rank FROM ranked")
@@ -349,8 +358,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: vector and text, English documents only, ten hits with their metadata."""
     docs = corpus(spark, d)
     hits = fusion.merge(*_lists(spark, d, 10, {"lang": "en"}), 10)
-    # k hits a query: as bounded as the queries
-    return docs.select("id", "lang", "n_chars").join(B.sized(shown(hits)), "id").select("qid", "id", "score", "rank", "lang", "n_chars")
+    # To count the hits first would search twice.
+    return docs.select("id", "lang", "n_chars").join(shown(hits), "id").select("qid", "id", "score", "rank", "lang", "n_chars")
 
 
 @query(f"WITH {_hybrid_ctes(40)}, {_rrf_sql(10)} {_MERGED}")

@@ -8,15 +8,17 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein import registry
 from skein.config import CollectionConfig, IvfConfig, PqConfig, StorageConfig
 from skein.errors import ConfigError, QueryError
 from skein.functions import text as X
 from skein.functions.filters import StructFields, VariantFields, compile_filter
 from skein.operators import fusion, ivf, metrics, pq, replicated, topk, versions
-from skein.operators.bm25 import bm25
+from skein.operators.bm25 import bm25, documents
 from skein.operators.knn import distances, exact_knn, normalized
 from skein.plans.planner import Planner
 from skein.sources.synthetic import clustered_vectors, near_queries, random_vectors
+from tests.oracle import DATA
 
 META = {"year": 2021, "venue": "NeurIPS", "tags": ["ann", "graph"], "author": {"name": "kim"}, "none": None, "yes": True, "a.b": 1, "score": 1.5}
 
@@ -284,3 +286,38 @@ def test_a_task_works_in_tiles(spark, monkeypatch, search):
     batch = pa.record_batch(columns, names=[str(n) for n in range(len(columns))])
     # 3000 queries by 3000 rows: one matrix is 72 MB
     assert _traced(lambda: list(caught[0](iter([batch])))) < 100
+
+
+def test_bm25_shuffles_no_occurrences(spark):
+    docs = spark.range(40).select("id", F.concat_ws(" ", F.array_repeat(F.lit("apple"), 3), F.when(F.col("id") % 2 == 0, "pears"), F.col("id").cast("string")).alias("text")).repartition(4)
+    asked = spark.createDataFrame([(0, "apples and pear"), (0, "apples"), (1, "7")], "qid long, text string")
+    found = bm25(docs, asked, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 1
+    rows = found.orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["id"]) for r in rows] == [(0, 0), (0, 2), (0, 4), (0, 6), (0, 8), (1, 7)]
+
+
+def test_documents_are_whole_over_batches():
+    first = lambda length, ok=1: ((length + 1) * 2 + ok) << 32
+    code = [first(4) + 1, 2, 1, first(0, 0), first(2) + 3, 3, first(1)]
+    ids = [10, None, None, 11, 12, None, 13]
+    for size in (1, 2, 3, 7):
+        batches = [pa.record_batch([pa.array(ids[n : n + size], pa.int64()), pa.array(code[n : n + size], pa.int64())], names=["id", "code"]) for n in range(0, 7, size)]
+        got = {}
+        for names, ok, lengths, at, t, tf in documents(iter(batches)):
+            for n, name in enumerate(names.to_pylist()):
+                got[name] = bool(ok[n]), int(lengths[n]), dict(zip(t[at == n].tolist(), tf[at == n].tolist(), strict=True))
+        assert got == {10: (True, 4, {0: 2, 1: 1}), 11: (False, 0, {}), 12: (True, 2, {2: 2}), 13: (True, 1, {})}
+
+
+def test_merge_reads_each_list_once(spark):
+    lists = [spark.range(9).select(F.lit(n).alias("qid"), "id", F.rand(n).alias("score"), (F.col("id") + 1).alias("rank")) for n in (0, 1)]
+    plan = fusion.merge(*lists, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 9") == 2
+
+
+def test_texts_are_joined_where_they_are_read(spark):
+    docs = registry.corpus(spark, f"{DATA}/sf0.01", vectors=False)
+    assert "embedding" not in docs.columns and docs.count() == registry.corpus(spark, f"{DATA}/sf0.01").count()
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
